@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import chunk_store, license_scan, mixing, nbest, quality, separator_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chunk_store": chunk_store.op4_chunk_store,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_token_counts": separator_scan.op7_token_counts,
+    "op9_nbest_encode": nbest.op9_nbest_encode,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
-SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op5_license_scan": license_scan.SQL, "op6_quality_rules": quality.SQL}
