@@ -2,8 +2,8 @@
 
 A vector is the sum of one full-dimensional codeword from each codebook.  The codebooks are trained level by level on
 the residuals of all vectors; encoding keeps a beam of partial sums.  The first codebook also parts the vectors into
-lists.  Every vector is a query: it visits the lists of its nearest first-level codewords, scores their members by
-lookup tables of inner products and the stored norms of the sums, and reranks the best by exact distance.
+lists, each vector being in those of its nearest few first-level codewords.  Every vector is a query: it visits the lists of its nearest first-level codewords, scores their members by
+lookup tables of inner products and the stored norms of the sums, and reranks the best of each list by exact distance.
 """
 
 from __future__ import annotations
@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from . import common
 
 NEIGHBOURS = 10
-LEVELS = 4
-WORDS = 64
-ROUNDS = 4
+LEVELS = 8
+WORDS = 256
+ROUNDS = 3
 BEAM = 8
+#: A vector is a member of this many lists, and visits this share of the lists, PROBES at least.  The share holds recall
+#: on vectors without any clusters; clustered ones need less.
+MEMBERSHIPS = 6
 PROBES = 24
+PROBE_SHARE = 0.125
 RERANK = 64
+RERANK_SHARE = 0.2
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -100,7 +105,7 @@ def train(vectors: DataFrame, dim: int, count: int, levels: int = LEVELS, words:
     return books
 
 
-def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share: float = PROBE_SHARE, memberships: int = MEMBERSHIPS, rerank: int = RERANK, rerank_share: float = RERANK_SHARE) -> DataFrame:
     """(vec_id, neighbor_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
 
     Approximate: recall is above 0.9 of brute force on the test tables (see the tests).  Vectors that are null, have a
@@ -123,6 +128,21 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, rerank
     parts = common.partitions(spark)
     kinds = [np.int32, np.uint8, np.int64, np.dtype((np.float32, dim)), np.dtype((np.int32, len(books))), np.float32]
 
+    def top_k(of: np.ndarray, who: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest different neighbours of each query, in order."""
+        order = np.lexsort((far, who, of))
+        of, who, far = of[order], who[order], far[order]
+        once = np.r_[True, (of[1:] != of[:-1]) | (who[1:] != who[:-1])][: len(of)]
+        of, who, far = of[once], who[once], far[once]
+        order = np.lexsort((who, far, of))
+        of, who, far = of[order], who[order], far[order]
+        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        keep = np.arange(len(of)) - np.repeat(head, np.diff(np.r_[head, len(of)])) < k
+        return of[keep], who[keep], far[keep]
+
+    def send_on(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield common.packed_batch(list(common.pack((common.mix(found[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64), list(found))))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = sent.value
         step = max(16, min(1000, (1 << 22) // len(books[0])))
@@ -130,18 +150,18 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, rerank
             for at in range(0, batch.num_rows, step):
                 ids, x = batch.column(0).slice(at, step).to_numpy(), _matrix(batch.column(1).slice(at, step), dim)
                 codes, norm = beam_encode(x, books)
-                m = min(probes, len(books[0]))
-                visit = np.argpartition(_near(x, books[0]), m - 1, axis=1)[:, :m]
+                m, e = (min(len(books[0]), c) for c in (max(probes, math.ceil(share * len(books[0]))), memberships))
+                near = _near(x, books[0]).argsort(1, kind="stable")
                 n = len(ids)
-                own = np.repeat(np.arange(n), m)
-                lists = np.concatenate([codes[:, 0], visit.ravel().astype(np.int32)]).astype(np.int32)
-                who = np.r_[np.arange(n), own]
-                query = np.r_[np.zeros(n, np.uint8), np.ones(n * m, np.uint8)]
+                lists = np.concatenate([near[:, :e].ravel(), near[:, :m].ravel()]).astype(np.int32)
+                who = np.r_[np.repeat(np.arange(n), e), np.repeat(np.arange(n), m)]
+                query = np.r_[np.zeros(n * e, np.uint8), np.ones(n * m, np.uint8)]
                 yield common.packed_batch(list(common.pack(lists % parts, [lists, query, ids[who], x[who], codes[who].astype(np.int32), norm[who].astype(np.float32)])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = sent.value
         lists, query, ids, x, codes, norm = common.unpack_all(batches, kinds)
+        found, held = [], 0
         order = np.lexsort((ids, query, lists))
         lists, query, ids, x, codes, norm = (c[order] for c in (lists, query, ids, x, codes, norm))
         for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else [], len(lists)].astype(np.int64)), strict=True):
@@ -149,14 +169,15 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, rerank
             base, code, size, known = x[a:mid], codes[a:mid], norm[a:mid], ids[a:mid]
             if mid == a:
                 continue
-            for at in range(mid, b, max(1, (1 << 20) // max(mid - a, rerank * dim))):
-                q = x[at : min(b, at + max(1, (1 << 20) // max(mid - a, rerank * dim)))]
+            step = max(1, (1 << 21) // (max(rerank, math.ceil(rerank_share * (mid - a))) * dim))
+            for at in range(mid, b, step):
+                q = x[at : min(b, at + step)]
                 own = ids[at : at + len(q)]
                 loss = np.repeat(size[None, :], len(q), 0)
                 for m, words in enumerate(books):
                     used, code_at = np.unique(code[:, m], return_inverse=True)
                     loss -= 2 * (q @ words[used].T)[:, code_at]
-                r = min(rerank, len(base))
+                r = min(len(base), max(rerank, math.ceil(rerank_share * len(base))))
                 best = np.argpartition(loss, r - 1, axis=1)[:, :r]
                 gap = base[best] - q[:, None, :]
                 exact = np.sqrt((gap * gap).sum(2))
@@ -166,20 +187,20 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, rerank
                 who, far = np.take_along_axis(known[best], pick, 1), np.take_along_axis(exact, pick, 1)
                 keep = np.isfinite(far).ravel()
                 of = np.repeat(own, top)[keep]
-                yield common.packed_batch(list(common.pack((common.mix(of.view(np.uint64)) % np.uint64(parts)).astype(np.int64), [of, who.ravel()[keep], far.ravel()[keep].astype(np.float32)])))
+                found.append((of, who.ravel()[keep], far.ravel()[keep].astype(np.float32)))
+                held += len(of)
+                if held > 2_000_000:
+                    found = [top_k(*map(np.concatenate, zip(*found, strict=True)))]
+                    yield from send_on(found.pop()) if len(found[0][0]) > 1_000_000 else ()
+                    held = sum(len(f[0]) for f in found)
+        if found:
+            yield from send_on(top_k(*map(np.concatenate, zip(*found, strict=True))))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, who, far = common.unpack_all(batches, [np.int64, np.int64, np.float32])
-        order = np.lexsort((far, who, of))
-        of, who, far = of[order], who[order], far[order]
-        once = np.r_[True, (of[1:] != of[:-1]) | (who[1:] != who[:-1])] if len(of) else np.zeros(0, bool)
-        of, who, far = of[once], who[once], far[once]
-        order = np.lexsort((who, far, of))
-        of, who, far = of[order], who[order], far[order]
+        of, who, far = top_k(*common.unpack_all(batches, [np.int64, np.int64, np.float32]))
         head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
         rank = np.arange(len(of)) - np.repeat(head, np.diff(np.r_[head, len(of)])) + 1
-        keep = rank <= k
-        yield from common.to_batches({"vec_id": pa.array(of[keep]), "neighbor_id": pa.array(who[keep]), "rank": pa.array(rank[keep].astype(np.int32)), "distance": pa.array(far[keep])})
+        yield from common.to_batches({"vec_id": pa.array(of), "neighbor_id": pa.array(who), "rank": pa.array(rank.astype(np.int32)), "distance": pa.array(far)})
 
     scored = common.exchange(clean.mapInArrow(send, common.PACKED), parts).mapInArrow(score, common.PACKED)
     return common.exchange(scored, parts).mapInArrow(best, out)
