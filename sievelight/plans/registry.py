@@ -1,4 +1,6 @@
 """Queries and oracle SQL of the core operators, keyed by operator id."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import findings, platform  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
