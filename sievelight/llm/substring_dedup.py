@@ -167,9 +167,11 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, anchor: int = ANCHOR) ->
                 for d, starts in enumerate(batch.column(3).to_pylist()):
                     own = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, side="right"))
                     hit[own] = np.isin(start[own] - off[d], starts)
-            hit |= run & (width >= least // 2)  # a run's name holds its length, so part of a longer run has another
-            low = np.minimum(start, start + width - least)[hit]
-            high = np.maximum(start, start + width - least)[hit]
+            # A run's name holds its length, so part of another run has another name: windows that touch it are tried.
+            long = run & (width >= least // 2)
+            hit |= long
+            low = np.where(long, start - least + 1, np.minimum(start, start + width - least))[hit]
+            high = np.where(long, start + width - 1, np.maximum(start, start + width - least))[hit]
             low = np.maximum(low, off[doc[hit]])
             high = np.minimum(high, off[doc[hit] + 1] - least)
             fits = high >= low
