@@ -169,7 +169,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share:
             base, code, size, known = x[a:mid], codes[a:mid], norm[a:mid], ids[a:mid]
             if mid == a:
                 continue
-            step = max(1, (1 << 21) // (max(rerank, math.ceil(rerank_share * (mid - a))) * dim))
+            copies = int(np.unique(known, return_counts=True)[1].max())  # rows that share an id count as one neighbour
+            step = max(1, (1 << 21) // (copies * max(rerank, math.ceil(rerank_share * (mid - a))) * dim))
             for at in range(mid, b, step):
                 q = x[at : min(b, at + step)]
                 own = ids[at : at + len(q)]
@@ -177,12 +178,12 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share:
                 for m, words in enumerate(books):
                     used, code_at = np.unique(code[:, m], return_inverse=True)
                     loss -= 2 * (q @ words[used].T)[:, code_at]
-                r = min(len(base), max(rerank, math.ceil(rerank_share * len(base))))
+                r = min(len(base), copies * max(rerank, math.ceil(rerank_share * len(base))))
                 best = np.argpartition(loss, r - 1, axis=1)[:, :r]
                 gap = base[best] - q[:, None, :]
                 exact = np.sqrt((gap * gap).sum(2))
                 exact[known[best] == own[:, None]] = np.inf
-                top = min(k, r)
+                top = min(k * copies, r)
                 pick = np.lexsort((known[best], exact), axis=1)[:, :top]
                 who, far = np.take_along_axis(known[best], pick, 1), np.take_along_axis(exact, pick, 1)
                 keep = np.isfinite(far).ravel()
