@@ -3,10 +3,12 @@
 The lattice of a text has a node at each character and an edge for each vocabulary piece.  Pieces never cross a word
 boundary (a run of spaces begins a word), so the lattice of a text is the chain of its words' lattices:
 
-* forward: Viterbi over all distinct words of a task at once, vectorised over words;
-* backward: A* from the end of a word; a state's priority is the score of the path so far plus the forward score of
-  its node, which is the exact best completion, so paths leave the queue in order of their total score;
-* the n best segmentations of a text are the n best sums of its words' n-best lists, joined by the same search.
+* forward: Viterbi over all distinct words of a task at once, vectorised over words; a backward pass adds each word's
+  loss of the second best path;
+* the n best segmentations of a text differ from the best in the words with the n - 1 smallest losses only;
+* backward: for those words, A* from the end of the word; a state's priority is the score of the path so far plus the
+  forward score of its node, which is the exact best completion, so paths leave the queue in order of total score;
+* the n best sums over those words' lists are the n best segmentations of the text.
 
 Characters that no piece covers fall back to their UTF-8 byte pieces (all a word's bytes have them).
 """
@@ -28,6 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 2
 _KEEP = 200_000
 _BAR = "▁"
+_OWN = "\ue000"
 SCHEMA = "doc_id long, rank int, score double, ids array<int>, decoded_ok boolean"
 
 
@@ -57,22 +60,9 @@ class Lattice:
         self.unknown = sp.unk_id()
         worst = float(raw[normal].min()) - 1.0
         self.byte_score = worst
-        self.cache: dict[str, list[tuple[float, np.ndarray]]] = {}
-
-    def edges(self, word: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
-        """Edges into ``end``: (start, ids, score), the piece edges or, for an uncovered character, its bytes."""
-        out = []
-        for start in range(max(0, end - self.longest), end):
-            i = self.piece.get(word[start:end])
-            if i is not None:
-                out.append((start, (i,), float(self.score[i])))
-        if not out or out[-1][0] != end - 1:
-            ids = tuple(self.byte.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace"))
-            out.append((end - 1, ids, self.byte_score * len(ids)))
-        return out
 
     def word(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one word, best first; equal scores are ordered by their ids."""
+        """The n best segmentations of one word, best first; equal scores in the order in which the search ends them."""
         size = len(word)
         if size == 1 and word in self.piece:
             i = self.piece[word]
@@ -90,23 +80,162 @@ class Lattice:
                     if best[start] + s > top:
                         top = best[start] + s
             if not here or here[-1][0] != end - 1:
-                ids = tuple(self.byte.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace"))
+                ids = tuple(self.byte.get(b, self.unknown) for b in word[end - 1].replace(_OWN, _BAR).encode("utf-8", "replace"))
                 here.append((end - 1, ids, self.byte_score * len(ids)))
                 top = max(top, best[end - 1] + here[-1][2])
             best[end] = top
             into.append(here)
+        # Of states with equal bounds the one nearest to the start goes first, so ties don't widen the search.
         out: list[tuple[float, tuple[int, ...]]] = []
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[size], (), size, 0.0)]
+        queue: list[tuple] = [(-best[size], size, 0, 0.0, None)]
+        made = 0
         while queue and len(out) < n:
-            bound, ids, at, behind = heapq.heappop(queue)
+            bound, at, _, behind, chain = heapq.heappop(queue)
             if at == 0:
-                out.append((-bound, ids))
+                ids: list[int] = []
+                while chain is not None:
+                    ids += chain[0]
+                    chain = chain[1]
+                out.append((-bound, tuple(ids)))
                 continue
             for start, step, s in into[at]:
-                heapq.heappush(queue, (-(behind + s + best[start]), step + ids, start, behind + s))
+                made += 1
+                heapq.heappush(queue, (-(behind + s + best[start]), start, made, behind + s, (step, chain)))
         return out
 
 
+_LONGEST_WORD = 64
+_CELLS = 1 << 21
+
+
+class Chart:
+    """Best path, its score and the loss of the second best, for many words at once.
+
+    Forward scores f and backward scores b give the best path through every edge, f(start) + score + b(end); the
+    second best path is the best one through an edge off the best path.
+    """
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice = lattice
+        ids = np.array(sorted(lattice.piece.values()), np.int32)
+        # Spaces stay bytes 32 in the text, so U+2581 is written as one here; the character itself is spelt by bytes.
+        spelt = [lattice.text[i].replace(_BAR, " ").encode() for i in range(len(lattice.text))]
+        self.size = np.array([len(x) for x in spelt], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        key = common.range_hash(common._BYTE[self.bytes], self.at[ids], self.at[ids] + self.size[ids])
+        # Two direct-mapped tables; the few that clash in the first are in the second.
+        self.mask = np.uint64((1 << 20) - 1)
+        self.key, self.id = np.r_[key, np.uint64(0)], np.r_[ids, np.int32(-1)]
+        self.first, self.second = (np.full(1 << 20, len(ids), np.int32) for _ in range(2))
+        self.first[key & self.mask] = np.arange(len(ids))
+        rest = np.flatnonzero(self.first[key & self.mask] != np.arange(len(ids)))
+        self.second[(key[rest] >> np.uint64(20)) & self.mask] = rest
+        assert (self.find(key) == ids).all()
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Piece of each hash, -1 if none."""
+        c = self.first[key & self.mask]
+        c = np.where(self.key[c] == key, c, self.second[(key >> np.uint64(20)) & self.mask])
+        return np.where(self.key[c] == key, self.id[c], np.int32(-1))
+
+    def solve(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(best score, loss of the second best, ids of the best, whether it decodes to the word) for each word."""
+        n = len(starts)
+        top, gap, fine = np.zeros(n), np.full(n, np.inf), np.zeros(n, bool)
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * n
+        p, inv = common.powers(len(raw))
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(common._BYTE[raw] * p[: len(raw)], dtype=np.uint64, out=total[1:])
+        heads = np.flatnonzero((raw & 0xC0) != 0x80)
+        first = np.searchsorted(heads, starts)
+        chars = np.searchsorted(heads, ends) - first
+        odd = heads[np.minimum(first, len(heads) - 1)] != starts
+        heads = np.r_[heads, len(raw)]
+        longest = self.lattice.longest
+        for size in np.unique(chars[(chars <= _LONGEST_WORD) & ~odd]).tolist():
+            group = np.flatnonzero((chars == size) & ~odd)
+            step = max(1, _CELLS // max(1, size * min(size, longest)))
+            for at in range(0, len(group), step):
+                own = group[at : at + step]
+                self._group(own, size, heads[first[own][:, None] + np.arange(size)], ends[own], total, inv, top, gap, ids, fine, raw)
+        for k in np.flatnonzero(~fine).tolist():  # bytes beyond the vocabulary, and very long words
+            word = raw[starts[k] : ends[k]].tobytes()
+            paths = self.lattice.word(spell(word), 2)
+            top[k], ids[k] = paths[0][0], np.array(paths[0][1], np.int32)
+            gap[k] = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
+            fine[k] = decode_word(self.lattice, paths[0][1]).encode() == word
+        return top, gap, ids, fine
+
+    def _group(self, own, size, place, last, total, inv, top, gap, ids, fine, raw) -> None:
+        m, longest, score = len(own), self.lattice.longest, self.lattice.score
+        place = np.concatenate([place, last[:, None]], axis=1)
+        f = np.full((size + 1, m), -np.inf)
+        f[0] = 0
+        back = np.zeros((size + 1, m), np.int64)
+        edge: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for end in range(1, size + 1):
+            b = place[:, end]
+            for start in range(max(0, end - longest), end):
+                a = place[:, start]
+                piece = self.find(common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64)))
+                s = np.where(piece >= 0, score[piece], -np.inf)
+                edge[start, end] = piece, s
+                better = f[start] + s > f[end]
+                f[end] = np.where(better, f[start] + s, f[end])
+                back[end] = np.where(better, start, back[end])
+        good = np.isfinite(f[size])
+        b = np.full((size + 1, m), -np.inf)
+        b[size] = 0
+        path = np.zeros((size + 1, m), bool)  # nodes of the best path
+        row, now = np.arange(m), np.where(good, size, 0)
+        flat = np.full((size, m), -1, np.int32)
+        count = np.zeros(m, np.int64)
+        path[now, row] = True
+        while (now > 0).any():
+            go = np.flatnonzero(now > 0)
+            before = back[now[go], go]
+            for e in np.unique(now[go]).tolist():
+                for s in np.unique(before[now[go] == e]).tolist():
+                    which = go[(now[go] == e) & (before == s)]
+                    flat[count[which], which] = edge[s, e][0][which]
+            count[go] += 1
+            now[go] = before
+            path[now, row] = True
+        second = np.full(m, -np.inf)
+        for end in range(size, 0, -1):
+            for start in range(max(0, end - longest), end):
+                s = edge[start, end][1]
+                through = s + b[end]
+                b[start] = np.maximum(b[start], through)
+                on = path[start] & path[end] & (back[end] == start)
+                second = np.maximum(second, np.where(on, -np.inf, f[start] + through))
+        best = f[size]
+        top[own] = best
+        with np.errstate(invalid="ignore"):
+            gap[own] = np.where(good & np.isfinite(second), np.maximum(best - second, 0), np.inf)
+        for k in np.flatnonzero(good).tolist():
+            ids[own[k]] = flat[: count[k], k][::-1]
+        # Decode: the pieces' bytes against the word's.
+        some = np.flatnonzero(good)
+        if len(some):
+            pieces = np.concatenate([ids[own[k]] for k in some.tolist()])
+            spelt = self.size[pieces]
+            out = self.bytes[np.repeat(self.at[pieces] - (np.cumsum(spelt) - spelt), spelt) + np.arange(spelt.sum())]
+            width = last[some] - place[some, 0]
+            begin = np.cumsum(width) - width
+            word = raw[np.repeat(place[some, 0] - begin, width) + np.arange(width.sum())]
+            if len(out) == len(word):
+                wrong = np.r_[0, np.cumsum(out != word)]
+                fine[own[some]] = wrong[begin + width] == wrong[begin]
+
+
+def spell(word: bytes) -> str:
+    """A word's text with U+2581 for spaces; U+2581 itself becomes U+E000, which no piece has, and is spelt by bytes."""
+    return word.decode("utf-8", "replace").replace(_BAR, _OWN).replace(" ", _BAR)
+
+
 def split_words(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Byte starts of the lattice's words: at each text's start and at a space that follows something else."""
     space = raw == 32
@@ -149,82 +278,103 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
 
     The text is encoded with one space in front, spaces as U+2581, as the model does.  ``decoded_ok`` says that the
     ids decode to the text again.  Null and empty texts have one row with no ids and score 0.  A text with fewer
-    than n segmentations has as many rows as it has.  Equal scores of a word are ordered by ids, of a text by the
-    place of the word that differs.  A null doc_id is kept; repeated rows are encoded each; an empty table gives an
+    than n segmentations has as many rows as it has.  Of equal scores of a word the one with the longer last piece is
+    the best, and the others keep the search's order; of equal scores of a text the order is that of the words.  A null doc_id is kept; repeated rows are encoded each; an empty table gives an
     empty result; further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model)
-        known: dict[int, tuple] = {}
-        for batch in common.slices(batches, "text", 1 << 20):
+        chart = Chart(lattice)
+        store = _Store()
+        rivals: dict[int, list[tuple[float, np.ndarray]]] = {}
+        for batch in common.slices(batches, "text"):
             raw, off = common.string_buffers(batch.column(1))
-            d = batch.num_rows
-            if len(raw) == 0:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * d, pa.int32()), pa.array([0.0] * d), pa.array([[]] * d, pa.list_(pa.int32())), pa.array([True] * d)], ["doc_id", "rank", "score", "ids", "decoded_ok"])
-                continue
+            d, full = batch.num_rows, np.diff(off) > 0
+            raw = np.insert(raw, off[:-1][full], 32)  # the dummy space in front
+            off = off + np.r_[0, np.cumsum(full)]
             starts = split_words(raw, off)
             ends = np.r_[starts[1:], len(raw)]
-            first_in = np.zeros(len(raw), np.uint64)
-            first_in[off[:-1][off[:-1] < len(raw)]] = 1  # a text's first word gets the dummy space
-            key = common.range_hash(common._BYTE[raw], starts, ends) ^ first_in[starts]
-            coded = pc.dictionary_encode(pa.array(key))
-            index, unique = np.asarray(coded.indices), coded.dictionary.to_pylist()
+            coded = pc.dictionary_encode(pa.array(common.range_hash(common._BYTE[raw], starts, ends))) if len(starts) else None
+            index = np.asarray(coded.indices) if coded is not None else np.zeros(0, np.int64)
+            unique = coded.dictionary.to_pylist() if coded is not None else []
             at = np.empty(len(unique), np.int64)
             at[index[::-1]] = np.arange(len(index))[::-1]
-            if len(known) > _KEEP:
-                known = {}
-            whole, a, b, lead = raw.tobytes(), starts[at].tolist(), ends[at].tolist(), first_in[starts[at]].tolist()
-            got = []
-            for u, h in enumerate(unique):
-                found = known.get(h)
-                if found is None:
-                    text = whole[a[u] : b[u]].decode("utf-8", "replace")
-                    word = (_BAR if lead[u] else "") + text.replace(" ", _BAR)
-                    paths = lattice.word(word, n)
-                    plain = all(decode_word(lattice, ids) == word for _, ids in paths)
-                    found = known[h] = (paths, plain)
-                got.append(found)
+            slot = store.slots(unique)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                slot[new] = store.add([unique[k] for k in new.tolist()], *chart.solve(raw, starts[at[new]], ends[at[new]]))
+            if len(rivals) > _KEEP:
+                rivals = {}
             words = np.searchsorted(starts, off)
-            score = np.array([[p[0] - q[0] if q else np.inf for q in (*p_rest, *[None] * (n - len(p_rest)))] for p, p_rest in ((paths[0], paths) for paths, _ in got)])
-            top = np.array([paths[0][0] for paths, _ in got])
-            fine = np.array([plain for _, plain in got])
-            flat = np.concatenate([np.array(paths[0][1], np.int32) for paths, _ in got])
-            size = np.array([len(paths[0][1]) for paths, _ in got])
-            place = np.cumsum(size) - size
-            each = size[index]
+            each = store.size[slot][index]
             total = np.r_[0, np.cumsum(each)]
-            ids = flat[np.repeat(place[index] - total[:-1], each) + np.arange(total[-1])]
-            sums = np.r_[0.0, np.cumsum(top[index])]
-            good = np.r_[0, np.cumsum(~fine[index])]
+            ids = store.flat[np.repeat(store.at[slot][index] - total[:-1], each) + np.arange(total[-1])]
+            sums = np.r_[0.0, np.cumsum(store.top[slot][index])]
+            bad = np.r_[0, np.cumsum(~store.fine[slot][index])]
+            gap = store.gap[slot][index]
             bounds = total[words]
             doc_at, rank, value, parts, ok = [], [], [], [], []
-            for d_ in range(d):
-                w0, w1 = int(words[d_]), int(words[d_ + 1])
-                base = float(sums[w1] - sums[w0])
-                here = index[w0:w1]
-                one = ids[bounds[d_] : bounds[d_ + 1]]
-                for r, (loss, changed) in enumerate(best_sums(score[here], n)):
-                    doc_at.append(d_)
+            for k in range(d):
+                w0, w1 = int(words[k]), int(words[k + 1])
+                one, base, good = ids[bounds[k] : bounds[k + 1]], float(sums[w1] - sums[w0]), bool(bad[w1] == bad[w0])
+                # Only the words with the n - 1 smallest losses can differ in the n best.
+                m = min(n - 1, w1 - w0)
+                near = w0 + (np.argpartition(gap[w0:w1], m - 1)[:m] if 1 < m < w1 - w0 else gap[w0:w1].argmin(keepdims=True) if m == 1 else np.arange(m))
+                near = near[np.lexsort((near, gap[near]))]
+                other = []
+                for w in near.tolist():
+                    u = unique[index[w]]
+                    found = rivals.get(u)
+                    if found is None:
+                        best = tuple(ids[total[w] : total[w + 1]].tolist())
+                        paths = lattice.word(spell(raw[starts[w] : ends[w]].tobytes()), n + 1)
+                        found = rivals[u] = [(max(0.0, float(store.top[slot[index[w]]]) - x), np.array(y, np.int32)) for x, y in paths if y != best][: n - 1]
+                    other.append(found)
+                losses = np.array([[0.0, *(x for x, _ in o), *[np.inf] * (n - 1 - len(o))] for o in other]).reshape(len(other), n)
+                for r, (loss, changed) in enumerate(best_sums(losses, n)):
+                    doc_at.append(k)
                     rank.append(r + 1)
                     value.append(round(base - loss, 6))
-                    ok.append(bool(good[w1] == good[w0]))
-                    if changed:
-                        cut, pieces = 0, []
-                        for g, alt in sorted(changed.items()):
-                            lo = int(total[w0 + g] - total[w0])
-                            pieces += [one[cut:lo], np.array(got[here[g]][0][alt][1], np.int32)]
-                            cut = lo + int(each[w0 + g])
-                        parts.append(np.concatenate([*pieces, one[cut:]]))
-                    else:
-                        parts.append(one)
+                    ok.append(good)
+                    cut, pieces = 0, []
+                    for g, alt in sorted(changed.items(), key=lambda x: near[x[0]]):
+                        lo = int(total[near[g]] - total[w0])
+                        pieces += [one[cut:lo], other[g][alt - 1][1]]
+                        cut = lo + int(each[near[g]])
+                    parts.append(np.concatenate([*pieces, one[cut:]]) if changed else one)
             lens = np.array([len(p) for p in parts], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(np.concatenate(parts)))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc_at)), pa.array(rank, pa.int32()), pa.array(value), lists, pa.array(ok)], ["doc_id", "rank", "score", "ids", "decoded_ok"])
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+class _Store:
+    """Solved words of a task by hash, in growing arrays; emptied when it has grown too large."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, int] = {}
+        self.top, self.gap, self.fine = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def slots(self, keys: list[int]) -> np.ndarray:
+        if len(self.known) > 2 * _KEEP:
+            self.__init__()
+        get = self.known.get
+        return np.array([get(h, -1) for h in keys], np.int64)
+
+    def add(self, keys: list[int], top: np.ndarray, gap: np.ndarray, ids: list[np.ndarray], fine: np.ndarray) -> np.ndarray:
+        base = len(self.top)
+        place = np.arange(base, base + len(keys))
+        self.known.update(zip(keys, place.tolist(), strict=True))
+        size = np.array([len(x) for x in ids], np.int64)
+        self.at = np.r_[self.at, len(self.flat) + np.cumsum(size) - size]
+        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
+        self.size, self.top, self.gap, self.fine = np.r_[self.size, size], np.r_[self.top, top], np.r_[self.gap, gap], np.r_[self.fine, fine]
+        return place
+
+
 def decode_word(lattice: Lattice, ids: tuple[int, ...]) -> str:
     """Pieces to text; runs of byte pieces are UTF-8."""
     out, held = [], bytearray()
@@ -235,7 +385,7 @@ def decode_word(lattice: Lattice, ids: tuple[int, ...]) -> str:
         if held:
             out.append(held.decode("utf-8", "replace"))
             held = bytearray()
-        out.append(lattice.text[i])
+        out.append(lattice.text[i].replace(_BAR, " "))
     return "".join(out) + held.decode("utf-8", "replace")
 
 
@@ -245,7 +395,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model)
         for batch in batches:
-            texts = [None if ids is None else decode_word(lattice, tuple(ids)).replace(_BAR, " ").removeprefix(" ") for ids in batch.column(2).to_pylist()]
+            texts = [None if ids is None else decode_word(lattice, tuple(ids)).removeprefix(" ") for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "rank", "text"])
 
     return encoded.select("doc_id", "rank", "ids").mapInArrow(run, "doc_id long, rank int, text string")
