@@ -7,7 +7,8 @@ neighbourhoods outside of which no pair can match (prefix principle: under any g
 that match share at least l of their first |x| - ceil(t|x|) + l n-grams):
 
 * n-grams are ordered by (frequent, hash); equal sets are one node;
-* nodes that meet in small neighbourhoods often enough become candidate pairs, each a region around its first node;
+* nodes that meet in small neighbourhoods often enough are candidates, and both go to the region of one's pivot, the
+  smallest of its candidates;
 * each large neighbourhood is a region around a pivot, in which all members are joined with each other.
 
 A region receives each member's set once.  In a large region further pivots create Voronoi cells; a set is replicated
@@ -208,18 +209,19 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
             start = np.searchsorted(doc, np.arange(len(size)))
             keep = np.arange(len(doc)) - start[doc] < most[doc]
             grams, doc = grams[keep], doc[keep]
+            if not len(grams):
+                continue
             part = (grams % np.uint64(parts)).astype(np.int64)
             short = (grams >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             part, short, doc = part[order], short[order], doc[order].astype(np.int32)
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
             for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(part)].tolist(), strict=True):
                 own, local = np.unique(doc[a:b], return_inverse=True)
                 head = np.array([b - a, len(own)], np.int64).tobytes()
                 rows.append((int(part[a]), head + node[own].tobytes() + size[own].astype(np.int32).tobytes() + short[a:b].tobytes() + local.astype(np.int32).tobytes()))
-            if rows:
-                yield common.packed_batch(rows)
+            yield common.packed_batch(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, grams, where, base = [], [], [], [], 0
@@ -264,8 +266,14 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
     text = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     met = common.exchange(text.mapInArrow(send, common.PACKED), parts).mapInArrow(meet, "pivot long, member long, times int, need int")
     regions = met.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.min("need").alias("need"), F.max(F.col("times").isNull()).alias("full"))
-    regions = common.table(regions.where("full OR times >= need").select("pivot", "member", "full"), "jaccard-regions")
-    regions = regions.unionByName(regions.where("NOT full").select("pivot", F.col("pivot").alias("member"), F.lit(False).alias("full")).distinct())
+    met = common.table(regions.where("full OR times >= need").select("pivot", "member", "full"), "jaccard-met")
+    # Each node's pivot is its smallest candidate partner; both nodes of a pair go to the pivot of the first, so a
+    # family of near copies is one region that has each set once, and not a region for each pair.
+    pairs = met.where("NOT full").select(F.col("pivot").alias("x"), F.col("member").alias("y"))
+    nearest = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
+    placed = pairs.join(nearest, "x")
+    regions = met.where("full").select("pivot", "member").unionByName(placed.select("pivot", F.col("x").alias("member"))).unionByName(placed.select("pivot", F.col("y").alias("member")))
+    regions = common.table(regions.distinct(), "jaccard-regions")
 
     # One document of each node is read again for its set.
     wanted = regions.select(F.col("member").alias("node")).distinct()
@@ -280,27 +288,17 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
 
     side = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     again = side.join(common.checked(chosen.select("id").distinct()), side["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
-    content = again.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]).withColumnRenamed("node", "member")
-    placed = regions.join(content, "member").select("pivot", "member", "full", "grams").repartition(parts, "pivot").sortWithinPartitions("pivot")
+    content = again.mapInArrow(sets, "node long, grams binary").withColumnRenamed("node", "member")
+    # Few regions are broadcast, so that the sets move once, to their regions; many are joined by a shuffle.
+    placed = content.join(common.checked(regions), "member").select("pivot", "member", "grams").repartition(parts, "pivot").sortWithinPartitions("pivot")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(pivot: int, ids: list[int], full: list[bool], sets_: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
-            out = []
-            if any(full):
-                whole = [k for k, f in enumerate(full) if f]
-                index = {ids[k]: k for k in whole}
-                for i, j, o in region_join([sets_[k] for k in index.values()], t):
-                    a, b = list(index)[i], list(index)[j]
-                    out.append((a, b, o, len(sets_[index[a]]) + len(sets_[index[b]]) - o))
-            centre = next((s for x, s in zip(ids, sets_, strict=True) if x == pivot), None)
-            if centre is not None:
-                for x, f, s in zip(ids, full, sets_, strict=True):
-                    if x != pivot and not f:
-                        o = len(np.intersect1d(centre, s, assume_unique=True))
-                        out.append((pivot, x, o, len(centre) + len(s) - o))
-            return [(min(a, b), max(a, b), o, o / u) for a, b, o, u in out if o >= t * u - 1e-9]
-
-        held: tuple[list, list, list] = ([], [], [])
+        def solve(ids: list[int], sets_: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
+            index = dict(zip(ids, sets_, strict=True))
+            name, whole = list(index), list(index.values())
+            return [(min(name[i], name[j]), max(name[i], name[j]), o, o / (len(whole[i]) + len(whole[j]) - o)) for i, j, o in region_join(whole, t)]
+
+        held: tuple[list, list] = ([], [])
         now, found = None, []
         kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
 
@@ -308,19 +306,16 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kind, strict=True)], schema=kind)
 
         for batch in batches:
-            for pivot, member, full, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for pivot, member, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if pivot != now:
-                    if now is not None:
-                        found += solve(now, *held)
-                    now, held = pivot, ([], [], [])
+                    found += solve(*held)
+                    now, held = pivot, ([], [])
                     if len(found) > 50_000:
                         yield drain()
                         found = []
                 held[0].append(member)
-                held[1].append(full)
-                held[2].append(np.frombuffer(raw, np.uint64))
-        if now is not None:
-            found += solve(now, *held)
+                held[1].append(np.frombuffer(raw, np.uint64))
+        found += solve(*held)
         if found:
             yield drain()
 
