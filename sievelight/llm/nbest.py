@@ -173,18 +173,24 @@ class Chart:
         place = np.concatenate([place, last[:, None]], axis=1)
         f = np.full((size + 1, m), -np.inf)
         f[0] = 0
-        back = np.zeros((size + 1, m), np.int64)
-        edge: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        back, into = np.zeros((size + 1, m), np.int64), np.full((size + 1, m), -1, np.int32)
+        edge: dict[tuple[int, int], np.ndarray] = {}
         for end in range(1, size + 1):
             b = place[:, end]
             for start in range(max(0, end - longest), end):
                 a = place[:, start]
                 piece = self.find(common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64)))
-                s = np.where(piece >= 0, score[piece], -np.inf)
-                edge[start, end] = piece, s
-                better = f[start] + s > f[end]
-                f[end] = np.where(better, f[start] + s, f[end])
-                back[end] = np.where(better, start, back[end])
+                known = np.flatnonzero(piece >= 0)
+                if not len(known):
+                    continue
+                s = np.full(m, -np.inf)
+                s[known] = score[piece[known]]
+                edge[start, end] = s
+                through = f[start] + s
+                better = through > f[end]
+                np.copyto(f[end], through, where=better)
+                np.copyto(back[end], start, where=better)
+                np.copyto(into[end], piece, where=better)
         good = np.isfinite(f[size])
         b = np.full((size + 1, m), -np.inf)
         b[size] = 0
@@ -196,17 +202,16 @@ class Chart:
         while (now > 0).any():
             go = np.flatnonzero(now > 0)
             before = back[now[go], go]
-            for e in np.unique(now[go]).tolist():
-                for s in np.unique(before[now[go] == e]).tolist():
-                    which = go[(now[go] == e) & (before == s)]
-                    flat[count[which], which] = edge[s, e][0][which]
+            flat[count[go], go] = into[now[go], go]
             count[go] += 1
             now[go] = before
             path[now, row] = True
         second = np.full(m, -np.inf)
         for end in range(size, 0, -1):
             for start in range(max(0, end - longest), end):
-                s = edge[start, end][1]
+                s = edge.get((start, end))
+                if s is None:
+                    continue
                 through = s + b[end]
                 b[start] = np.maximum(b[start], through)
                 on = path[start] & path[end] & (back[end] == start)
