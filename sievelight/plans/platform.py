@@ -1,7 +1,7 @@
 """Queries over projects, jobs, organizations, events, texts and streams."""
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -207,23 +207,30 @@ def det_dyn_depth(spark, d):
 # --- files, shards, caches -----------------------------------------------------------------------------------------
 
 
-def _tree() -> str:
-    root = tempfile.mkdtemp(prefix="tree-")
+def _folder(spark, prefix):
+    """A new folder in the shared one that spark.checkpoint.dir names; a local one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{prefix}{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=prefix)
+
+
+def _tree(spark):
+    root = _folder(spark, "tree-")
+    disk, base = SF.open_root(root)
     for path, n in (("a.py", 3), ("src/b.rs", 5), (".hidden", 7), ("node_modules/c.js", 11), ("d1/d2/d3/d4/e.go", 13), ("d1/d2/d3/d4/d5/f.go", 17), ("dist/g.js", 19)):
-        os.makedirs(os.path.dirname(f"{root}/{path}") or root, exist_ok=True)
-        with open(f"{root}/{path}", "wb") as f:
+        disk.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+        with disk.open_output_stream(f"{base}/{path}") as f:
             f.write(b"x" * n)
     return root
 
 
 @query("scan_dir", "SELECT * FROM (VALUES ('a.py', CAST(3 AS BIGINT)), ('src/b.rs', 5), ('d1/d2/d3/d4/e.go', 13), ('dist/g.js', 19)) t(path, length)")
 def scan_dir(spark, d):
-    return SF.scan_dir(spark, _tree())
+    return SF.scan_dir(spark, _tree(spark))
 
 
 @query("scan_size", "SELECT CAST(3 + 5 + 7 + 13 + 17 AS BIGINT) AS bytes")
 def scan_size(spark, d):
-    return SF.scan_size(spark, _tree())
+    return SF.scan_size(spark, _tree(spark))
 
 
 @query("agg_size", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY p_brand")
@@ -320,7 +327,7 @@ def sink_webhook(spark, d):
 
 @query("export_csv_json", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def export_csv_json(spark, d):
-    out = tempfile.mkdtemp(prefix="export-")
+    out = _folder(spark, "export-")
     kind = "o_orderstatus string, n long"
     table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(f"{out}/csv")
     csv = spark.read.schema(kind).option("header", True).csv(f"{out}/csv")
@@ -534,7 +541,7 @@ def token_bucket(spark, d):
 
 def _stream(spark, d, name):
     """The table as a stream of one file, in a folder of its own."""
-    folder = tempfile.mkdtemp(prefix="stream-")
+    folder = _folder(spark, "stream-")
     src = table(spark, d, name)
     src.write.mode("overwrite").parquet(f"{folder}/in")
     return folder, ST.queue(spark, f"{folder}/in", src.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.planning import SIZE_SKIPPED, SKIPPED
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
+def open_root(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:").rstrip("/"))
 
 
@@ -22,7 +22,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     The driver lists one level; the folders of that level are listed by the tasks.  A missing root has no rows, and a
     root that is a file is one row.
     """
-    disk, base = _open(root)
+    disk, base = open_root(root)
     info = disk.get_file_info(base)
     if info.type == fs.FileType.File:
         rows = [(info.base_name, info.size, False)]
@@ -33,7 +33,7 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     top = spark.createDataFrame(rows, "path string, length long, folder boolean")
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = _open(root)
+        disk, base = open_root(root)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 found = [f for f in disk.get_file_info(fs.FileSelector(f"{base}/{name}", recursive=True)) if f.is_file]
@@ -54,6 +54,6 @@ def scan_dir(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
 def scan_size(spark: SparkSession, root: str) -> DataFrame:
     """One row: all bytes below root outside of the ignored folders; null if there is no such root."""
     skip = F.exists("parts", lambda p: p.isin(*SIZE_SKIPPED))
-    disk, base = _open(root)
+    disk, base = open_root(root)
     missing = disk.get_file_info(base).type == fs.FileType.NotFound
     return walk(spark, root).where(~skip).agg(F.when(F.lit(not missing), F.coalesce(F.sum("length"), F.lit(0))).alias("bytes"))
