@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,22 +110,23 @@ def build(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, buckets: int = B
     made = docs.select(F.col("doc_id").cast("long"), "text", row.alias("row_hash"), bucket.alias("bucket")).mapInArrow(chunk, SCHEMA)
     # One shuffle stores each chunk once and brings the documents of a bucket together; the manifest is made in it.
     target = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("bucket"))
-    placed = made.repartition(common.partitions(docs.sparkSession), target).sortWithinPartitions("kind", "digest")
+    placed = made.repartition(common.partitions(docs.sparkSession), target).sortWithinPartitions("digest")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, roots, schema = None, {}, None
+        last, roots, schema = np.zeros((1, 32), np.uint8), {}, None
         for batch in batches:
             schema = batch.schema
-            keep = np.ones(batch.num_rows, bool)
-            kind, digest = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-            ids, rows, of = batch.column(1), batch.column(2), batch.column(3)
-            for i, (k, x) in enumerate(zip(kind, digest, strict=True)):
-                if k == "chunk":
-                    keep[i] = x != last
-                    last = x
-                else:
-                    d = ids[i].as_py()
-                    roots.setdefault(of[i].as_py(), []).append((d is not None, d or 0, rows[i].as_py(), x))
+            chunk = np.asarray(pc.equal(batch.column(0), "chunk"))
+            raw, _ = common.string_buffers(batch.column(4))
+            digest = raw.reshape(-1, 32)
+            keep = ~chunk
+            own = np.r_[last, digest[chunk]]
+            keep[chunk] = (own[1:] != own[:-1]).any(axis=1)
+            last = own[-1:]
+            at = np.flatnonzero(~chunk)
+            docs_ = batch.take(pa.array(at)).select(["doc_id", "row_hash", "bucket"]).to_pylist() if len(at) else []
+            for k, r in zip(at.tolist(), docs_, strict=True):
+                roots.setdefault(r["bucket"], []).append((r["doc_id"] is not None, r["doc_id"] or 0, r["row_hash"], digest[k].tobytes()))
             yield batch.filter(pa.array(keep))
         for b, found in sorted(roots.items()):
             yield pa.RecordBatch.from_pylist([{"kind": "manifest", "bucket": b, "digest": merkle([x for *_, x in sorted(found)]), "n_tokens": None}], schema)
