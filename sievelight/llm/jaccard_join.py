@@ -349,6 +349,27 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     return between.unionByName(equal).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def join_all(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of documents with Jaccard >= threshold, doc_a < doc_b.
+
+    Like ``join``, but every member of a group of equal sets is paired with all other members and with all members of
+    the groups near it: k copies give k (k - 1) / 2 rows.
+    """
+    _math_guard(threshold)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    members, frequent = nodes(docs, n)
+    members = common.table(members.where("size > 0").select("node", "doc_id").distinct(), "jaccard-members")
+    pairs = join_nodes(docs, members, frequent, n, threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    a, b = members.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
+    between = pairs.join(a, "a").join(b, "b").where("x != y")
+    equal = a.join(b, F.col("a") == F.col("b")).where("x < y").withColumn("jaccard", F.lit(1.0))
+    out = between.select("x", "y", "jaccard").unionByName(equal.select("x", "y", "jaccard")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    # Two documents can meet more than once only if one of them has several sets.
+    if members.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each id of ``pairs`` (u, v) is connected with.
 
@@ -379,4 +400,4 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_all(spark.read.parquet(f"{sf_dir}/documents.parquet"))
