@@ -149,7 +149,8 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, anchor: int = ANCHOR) ->
     sent = spark.sparkContext.broadcast(np.sort(few.view(np.uint64))) if len(few) <= BROADCAST_SYMBOLS else None
     if sent is None:
         places = found.groupBy("row_hash").agg(F.collect_set("start").alias("starts"))
-        source = source.join(places, "row_hash").select("doc_id", "row_hash", "text", "starts")
+        # A left join: texts without a shared symbol are read too, for their long runs.
+        source = source.join(places, "row_hash", "left").select("doc_id", "row_hash", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
