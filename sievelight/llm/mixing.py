@@ -26,6 +26,8 @@ TEMPERATURE = 0.5
 SEED = 20240607
 #: Buckets of the hash order of one source; ranks are counted per bucket and joined by a prefix sum.
 BUCKET_BITS = 12
+#: As a total: what ``fair_total`` says.
+FAIR = "fair"
 
 
 def target_blocks(available: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
@@ -46,6 +48,41 @@ def target_blocks(available: dict[str, int], weights: dict[str, float]) -> dict[
     return quota
 
 
+def fair_total(available: dict[str, int], weights: dict[str, float]) -> int:
+    """The target total of the registered mix, in documents: sources that hold half of all the weight get no less than
+    their weight asks for, each with as many documents a unit of weight as the weighted median source has; no source
+    is asked for more than it has.
+    """
+    live = sorted((available[s] / w, w, s) for s, w in weights.items() if w > 0 and available.get(s, 0) > 0)
+    half, level = sum(w for _, w, _ in live) / 2, 0.0
+    for level, w, _ in live:
+        half -= w
+        if half <= 0:
+            break
+    return sum(min(available[s], math.floor(level * w + 1e-9)) for _, w, s in live)
+
+
+def water_fill(available: dict[str, int], weights: dict[str, float], total: int) -> dict[str, int]:
+    """Quotas in documents that sum to ``total``, or to all there is: a source that has less than its share gives all
+    it has, and the rest is shared by weight among the others, by largest remainder.
+    """
+    live = {s: w for s, w in weights.items() if w > 0 and available.get(s, 0) > 0}
+    left, quota = min(total, sum(available[s] for s in live)), {}
+    for s in sorted(live, key=lambda s: (available[s] / live[s], s)):
+        rest = sum(w for x, w in live.items() if x not in quota)
+        if available[s] > left * live[s] / rest + 1e-9:
+            break
+        quota[s] = available[s]
+        left -= available[s]
+    open_ = {s: w for s, w in live.items() if s not in quota}
+    exact = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    quota |= {s: math.floor(x + 1e-9) for s, x in exact.items()}
+    left -= sum(quota[s] for s in open_)
+    for s in sorted(open_, key=lambda s: (quota[s] - exact[s], s))[:left]:
+        quota[s] += 1
+    return quota
+
+
 def splitting_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """shards x sources: how many blocks of each source each shard holds.
 
@@ -79,7 +116,7 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit("<null>"))
 
 
-def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_blocks: int, temperature: float, seed: int) -> tuple[DataFrame, int]:
+def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_blocks: int, temperature: float, seed: int, total: int | str | None = None) -> tuple[DataFrame, int]:
     """The table (source, bucket, low, high, shard) of hash ranges, and how many shards there are.
 
     Only counts by source and bucket and the plan (sources x shards rows) pass through the driver.
@@ -97,15 +134,20 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_bl
     counts = {s: int(n[-1]) for s, n in upto.items()}
     if weights is None:
         weights = {s: float(n) ** temperature for s, n in counts.items()}
-    quota = target_blocks({s: n // block or 1 for s, n in counts.items()}, weights)
+    if total is None:
+        quota, most = target_blocks({s: n // block or 1 for s, n in counts.items()}, weights), counts
+    else:
+        most = water_fill(counts, weights, fair_total(counts, weights) if total == FAIR else total)
+        quota = {s: -(-n // block) for s, n in most.items()}  # the last block of a source may be a partial one
     vector = np.array([quota.get(s, 0) for s in names], np.int64)
     shards = math.ceil(int(vector.sum()) / shard_blocks)
     ends = np.cumsum(splitting_tree(vector, shards, seed), axis=0) * block
     rows = []
     for j, s in enumerate(names):
         held = np.flatnonzero(np.diff(ends[:, j], prepend=0))
-        at = np.searchsorted(upto[s], np.minimum(ends[held, j], counts[s]))
-        within = np.minimum(ends[held, j], counts[s]) - (upto[s] - by_bucket[s])[at]
+        end = np.minimum(ends[held, j], most.get(s, 0))
+        at = np.searchsorted(upto[s], end)
+        within = end - (upto[s] - by_bucket[s])[at]
         rows += zip([s] * len(held), at.tolist(), within.tolist(), held.tolist(), strict=True)
     cuts = spark.createDataFrame(rows, "s string, b int, r int, shard int")
     # A range ends with the document of rank r in bucket b.
@@ -117,18 +159,20 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_bl
     return common.table(short.withColumn("low", low).withColumn("b", F.explode(span.cast("array<int>"))), "mix-plan"), shards
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, temperature: float = TEMPERATURE, seed: int = SEED, total: int | str | None = None) -> DataFrame:
     """``docs`` at the target weights, with ``mix_shard`` and ``mix_position`` (0.. within each shard).
 
     ``weights`` maps source to weight; None means count ** ``temperature``.  Weights of absent sources are ignored and
-    sources without a weight are left out.  Quotas are whole blocks of ``block`` documents; a source with fewer
-    documents than a block counts as one block and gives all it has.  Null sources form one source of their own,
+    sources without a weight are left out.  ``total`` is the number of documents aimed at, or FAIR (``fair_total``):
+    a source too small for its share gives all it has, the others share the rest by weight, and the last block of a
+    source may be a partial one.  With None the weights are kept exactly, so the smallest source bounds the mix:
+    quotas are whole blocks of ``block`` documents, a source with fewer counts as one block and gives all.  Null sources form one source of their own,
     named ``<null>`` in ``weights``; null ids and texts are ordinary values.  Ties: rows alike in id and text have the
     same place in the order and stay together, so a quota can be off by their number.  Further columns are kept,
     except that columns of the two names above are replaced.  An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("mix_shard", "mix_position")]
-    ranges, shards = plan(docs, weights, block, shard_blocks, temperature, seed)
+    ranges, shards = plan(docs, weights, block, shard_blocks, temperature, seed, total)
     row = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), _source().alias("s"), _order(seed).alias("o"))
     # About sources x (shards + buckets) rows: broadcast while that is small, a sort-merge join beyond it.
     row = row.withColumn("b", F.shiftright("o", 63 - BUCKET_BITS).cast("int"))
@@ -139,4 +183,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), total=FAIR)
