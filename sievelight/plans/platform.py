@@ -552,7 +552,7 @@ def _drained(spark, stream, folder, mode="append"):
         q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode(mode).trigger(availableNow=True).start()
     else:
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/cp").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).trigger(availableNow=True).start()
-    q.awaitTermination(300)
+    q.awaitTermination()  # without a limit: the stream ends by itself, and an earlier read would lose rows
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
