@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,13 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir.  Where that is unset, a fresh one of this machine if Spark runs on this
+    machine alone; on a cluster, where other machines couldn't read that, an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sievelight-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -50,12 +56,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A side is broadcast only if it has at most this many rows of a few machine words; beyond it the join shuffles.
+def parts_for(spark: SparkSession, size: float) -> int:
+    """Targets of a packed exchange of about ``size`` bytes: no more than 32 MB each, whatever the setting."""
+    return max(partitions(spark), int(size // PART_BYTES) + 1)
+
+
+PART_BYTES = 32 << 20
+#: A side is broadcast only if it has at most this many rows and its files this many bytes; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (pass a materialised table), else as it is."""
+    """``df`` (a written table or a projection of one) with a broadcast hint if it is small, by Catalyst's own figure
+    for the bytes of its files and by its row count; else as it is."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -84,6 +100,40 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U64))
 
 
+#: A polynomial modulo 2**64 lets long words over two symbols collide (Thue-Morse); up to this length none can.
+_POLYNOMIAL = 32
+
+
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges raw[start:end]: short ones by one prefix sum, long ones by XXH3."""
+    out = range_hash(_BYTE[raw], starts, ends)
+    long = np.flatnonzero(ends - starts > _POLYNOMIAL)
+    if len(long):
+        whole, name = raw.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((name(whole[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), U64, len(long))
+    return out
+
+
+def wide_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit XXH3 of each byte range, as two columns."""
+    whole, name = raw.tobytes(), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([name(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of the pieces that part ``raw`` at ``starts``: (index of each into the distinct ones, those, where each is first)."""
+    if not len(starts):
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+    off = np.r_[starts, len(raw)].astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = pc.dictionary_encode(column)
+    index, unique = np.asarray(coded.indices), coded.dictionary.to_pylist()
+    first = np.empty(len(unique), np.int64)
+    first[index[::-1]] = np.arange(len(index))[::-1]
+    return index, unique, first
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -132,7 +182,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and each text's offset into them."""
     raw, off = string_buffers(column)
     starts, ends, docs = word_spans(raw, off)
-    return range_hash(_BYTE[raw], starts, ends), docs
+    return span_hash(raw, starts, ends), docs
 
 
 def owner(off: np.ndarray) -> np.ndarray:

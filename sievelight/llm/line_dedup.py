@@ -1,14 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-A line is dropped if the same line, or one within ``tau`` edits, occurs earlier in the corpus (order: doc_id, then
-row hash, then line number).  Edits are counted on UTF-8 bytes.
+A line is dropped if the same line, or one near it, occurs earlier in the corpus (order: doc_id, then row hash, then
+line number).  Two lines are near if they are within tau edits of their UTF-8 bytes, where tau is one edit for every
+``EVERY`` bytes of the shorter line, and ``TAU`` at most: a share of the line, so that short lines that say different
+things are not near.
 
-* Equal lines meet by hash.
-* Lines within tau edits: a line is split into tau + 1 segments, and by the pigeonhole principle at least one segment
+* Equal lines meet by a 128-bit hash.
+* Near lines: a line is split into tau + 1 segments, and by the pigeonhole principle at least one segment
   of the shorter line is a substring of the longer one near its own place.  The longer line probes the index with
   exactly those substrings that a match can use, given both lengths (multi-match-aware selection).
-* Index and probe keys travel as packed hashes; lines that share a key are candidates, and only their texts are read
-  again and verified by a banded bit-parallel edit distance, vectorised over pairs.
+* Index and probe keys travel as packed hashes; lines that share a key and differ little enough in their counts of
+  bytes are candidates, and only their texts are read again and verified by a banded bit-parallel edit distance, vectorised over pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ from pyspark.sql import functions as F
 from . import common
 
 TAU = 2
-#: Shorter lines are compared for equality only: a few edits can turn one short line into another.
-LEAST_BYTES = 24
+EVERY = 12
 _PAIRS = 4096
+_HELD = 500_000
+
+
+def edits(length: np.ndarray, tau: int) -> np.ndarray:
+    """How many edits a line of so many bytes may be away from a longer one."""
+    return np.minimum(tau, np.maximum(length, 0) // EVERY)
 
 
 def line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,18 +56,19 @@ def segments(length: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, axis=1) - size, size
 
 
-def probes(length: np.ndarray, tau: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def probes(length: np.ndarray, tau: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length difference and segment: (delta, segment, which lines, start, size) of the substrings to look up.
 
-    A line of length n looks for lines of length n - delta.  With multi-match-aware bounds, segment i (from 0) of the
+    A line of length n looks for lines of length n - delta that may be ``tau`` edits away.  With multi-match-aware bounds, segment i (from 0) of the
     shorter line may begin at p + d with |d| <= i and |d - delta| <= tau - i.
     """
     for delta in range(tau + 1):
         start, size = segments(np.maximum(length - delta, 0), tau)
+        fits = edits(length - delta, most) == tau
         for i in range(tau + 1):
             for d in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
                 at = start[:, i] + d
-                which = np.flatnonzero((length - delta >= tau + 1) & (at >= 0) & (at + size[:, i] <= length))
+                which = np.flatnonzero(fits & (at >= 0) & (at + size[:, i] <= length))
                 yield delta, i, which, at[which], size[which, i]
 
 
@@ -118,78 +126,103 @@ def within(a: list[bytes], b: list[bytes], tau: int) -> np.ndarray:
     return ok & good & ((last >> np.where(good, at, 0).astype(np.uint64)) & one).astype(bool)
 
 
-def near_pairs(docs: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
-    """(a, b): hashes of different lines of at least ``least`` bytes within ``tau`` edits, each pair once, a < b."""
+def _signature(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Eight saturating 7-bit counts of classes of bytes as one word.  An edit moves the counts by two at most."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(8):
+        upto = np.r_[0, np.cumsum((raw & 7) == k)]
+        out |= np.minimum(upto[ends] - upto[starts], 127).astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much two signatures differ, summed over the classes: at most twice the edits."""
+    a, b = x.view(np.uint8).reshape(-1, 8).astype(np.int16), y.view(np.uint8).reshape(-1, 8).astype(np.int16)
+    return np.abs(a - b).sum(axis=1)
+
+
+def near_pairs(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, ca, b, cb): 128-bit hashes of different lines that are near each other, each pair once, a <= b."""
     spark = docs.sparkSession
-    parts = common.partitions(spark)
+    # About 20 bytes for each of some 12 keys of a line.
+    bulk = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    parts = common.parts_for(spark, bulk)
+
+    def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw, off = common.string_buffers(batch.column(0))
+        starts, ends, _ = line_spans(raw, off)
+        long = np.flatnonzero(edits(ends - starts, tau) > 0)
+        return raw, starts[long], ends[long]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            raw, off = common.string_buffers(batch.column(0))
-            starts, ends, _ = line_spans(raw, off)
-            long = np.flatnonzero(ends - starts >= least)
-            if not len(long):
+            raw, starts, ends = lines_of(batch)
+            if not len(starts):
                 continue
-            starts, ends = starts[long], ends[long]
+            ids = common.wide_hash(raw, starts, ends)[0].view(np.uint64)
+            _, once = np.unique(ids, return_index=True)
+            starts, ends, ids = starts[once], ends[once], ids[once]
             p, inv = common.powers(len(raw))
             total = np.empty(len(raw) + 1, np.uint64)
             total[0] = 0
             np.cumsum(common._BYTE[raw] * p[: len(raw)], dtype=np.uint64, out=total[1:])
 
-            def key(a, b):
-                return common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64))
+            def key(a, b, n, i):
+                return common.mix(common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64)) + (n * 8 + i).astype(np.uint64))
 
-            ids = key(starts, ends)
-            _, once = np.unique(ids, return_index=True)
-            starts, ends, ids = starts[once], ends[once], ids[once]
             length = ends - starts
             keys, lines, role = [], [], []
-            at, size = segments(length, tau)
-            for i in range(tau + 1):
-                a = starts + at[:, i]
-                keys.append(common.mix(key(a, a + size[:, i]) + (length * 8 + i).astype(np.uint64)))
-                lines.append(np.arange(len(ids)))
-                role.append(np.zeros(len(ids), np.uint8))
-            for delta, i, which, at_, size_ in probes(length, tau):
-                a = starts[which] + at_
-                if delta == 0 and len(which):
-                    own = at_ == at[which, i]  # the line's own segment is in the index already
-                    which, a, size_ = which[~own], a[~own], size_[~own]
-                keys.append(common.mix(key(a, a + size_) + ((length[which] - delta) * 8 + i).astype(np.uint64)))
-                lines.append(which)
-                role.append(np.ones(len(which), np.uint8))
+            for t in range(1, tau + 1):
+                own = np.flatnonzero(edits(length, tau) == t)
+                at, size = segments(length, t)
+                for i in range(t + 1):
+                    a = starts[own] + at[own, i]
+                    keys.append(key(a, a + size[own, i], length[own], i))
+                    lines.append(own)
+                    role.append(np.zeros(len(own), np.uint8))
+                for delta, i, which, at_, size_ in probes(length, t, tau):
+                    a = starts[which] + at_
+                    if delta == 0 and len(which):
+                        other = at_ != at[which, i]  # the line's own segment is in the index already
+                        which, a, size_ = which[other], a[other], size_[other]
+                    keys.append(key(a, a + size_, length[which] - delta, i))
+                    lines.append(which)
+                    role.append(np.ones(len(which), np.uint8))
             keys, lines, role = np.concatenate(keys), np.concatenate(lines), np.concatenate(role)
             part = (keys % np.uint64(parts)).astype(np.int64)
-            yield common.packed_batch(list(common.pack(part, [(keys >> np.uint64(16)).astype(np.uint32), (keys >> np.uint64(48)).astype(np.uint16), ids[lines], role])))
+            mark = _signature(raw, starts, ends)
+            yield common.packed_batch(list(common.pack(part, [(keys >> np.uint64(16)).astype(np.uint32), (keys >> np.uint64(48)).astype(np.uint16), ids[lines], mark[lines], role])))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high, line, role = common.unpack_all(batches, [np.uint32, np.uint16, np.uint64, np.uint8])
+        low, high, line, mark, role = common.unpack_all(batches, [np.uint32, np.uint16, np.uint64, np.uint64, np.uint8])
         key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.lexsort((role, line, key))
-        key, line, role = key[order], line[order], role[order]
+        key, line, mark, role = key[order], line[order], mark[order], role[order]
         if not len(key):
             return
         first = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (role[1:] != role[:-1])]
-        key, line, role = key[first], line[first], role[first]
+        key, line, mark, role = key[first], line[first], mark[first], role[first]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[cuts, len(key)])
-        left, right, held = [], [], 0
+        held, n = [], 0
         for c, m in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            index = line[c : c + m][role[c : c + m] == 0]
-            probe = np.unique(line[c : c + m])
-            for lo in range(0, len(index), 1000):
-                some = index[lo : lo + 1000]
-                x = np.repeat(some, len(probe))
-                y = np.tile(probe, len(some))
-                keep = x != y
-                if keep.any():
-                    left.append(np.minimum(x, y)[keep])
-                    right.append(np.maximum(x, y)[keep])
-                    held += int(keep.sum())
-                if held > 500_000:
-                    yield from _pair_batches(left, right)
-                    left, right, held = [], [], 0
-        yield from _pair_batches(left, right)
+            index = np.flatnonzero(role[c : c + m] == 0) + c
+            step = max(1, _HELD // m)
+            for lo in range(0, len(index), step):
+                some = index[lo : lo + step]
+                x, y = np.repeat(some, m), np.tile(np.arange(c, c + m), len(some))
+                fits = line[x] != line[y]
+                x, y = x[fits], y[fits]
+                fits = _apart(mark[x], mark[y]) <= 2 * tau
+                x, y = line[x[fits]], line[y[fits]]
+                if len(x):
+                    held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    n += len(x)
+                if n > _HELD:
+                    yield _pair_batch(held)
+                    held, n = [], 0
+        if held:
+            yield _pair_batch(held)
 
     packed = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(send, common.PACKED)
     candidates = common.table(common.exchange(packed, parts).mapInArrow(meet, "a long, b long").distinct(), "line-candidates")
@@ -201,54 +234,51 @@ def near_pairs(docs: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> Dat
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            raw, off = common.string_buffers(batch.column(0))
-            starts, ends, _ = line_spans(raw, off)
-            long = np.flatnonzero(ends - starts >= least)
-            starts, ends = starts[long], ends[long]
+            raw, starts, ends = lines_of(batch)
             if not len(starts):
                 continue
-            ids = common.range_hash(common._BYTE[raw], starts, ends)
-            ids, once = np.unique(ids, return_index=True)
+            ids, more = common.wide_hash(raw, starts, ends)
+            once = np.unique(np.stack([ids, more], axis=1), axis=0, return_index=True)[1]
             if sent is not None:
                 known = sent.value
-                at = np.searchsorted(known, ids.view(np.int64))
-                hit = known[np.minimum(at, len(known) - 1)] == ids.view(np.int64) if len(known) else np.zeros(len(ids), bool)
-                ids, once = ids[hit], once[hit]
-            starts, ends = starts[once], ends[once]
+                at = np.searchsorted(known, ids[once])
+                once = once[known[np.minimum(at, len(known) - 1)] == ids[once]] if len(known) else once[:0]
             whole = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array(more[once]), pa.array([whole[a:b] for a, b in zip(starts[once].tolist(), ends[once].tolist(), strict=True)], pa.binary())], ["id", "more", "line"])
 
-    lines = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(texts, "id long, line binary")
+    lines = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(texts, "id long, more long, line binary")
     if sent is None:
         lines = lines.join(wanted, "id", "left_semi")
-    lines = common.table(lines.dropDuplicates(["id"]), "line-texts")
-    pairs = candidates.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # Lines of one id but different texts all stand for it here, and are told apart by their texts and their second half.
+    lines = common.table(lines.dropDuplicates(["id", "more"]), "line-texts")
+    pairs = candidates.join(lines.select(F.col("id").alias("a"), F.col("more").alias("ca"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("more").alias("cb"), F.col("line").alias("lb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            la, lb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            size = np.array([max(len(x), len(y)) for x, y in zip(la, lb, strict=True)], np.int64)
-            order = np.argsort(size, kind="stable")
+            la, lb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            size = np.array([[len(x), len(y)] for x, y in zip(la, lb, strict=True)], np.int64).reshape(-1, 2)
+            least, size = edits(size.min(axis=1), tau), size.max(axis=1)
             good = np.zeros(len(la), bool)
-            at = 0
-            while at < len(order):  # pairs of like length together, about a fixed number of cells a call
-                step = max(1, min(_PAIRS, (1 << 21) // max(1, int(size[order[min(len(order) - 1, at + _PAIRS)]]))))
-                own = order[at : at + step]
-                good[own] = within([la[k] for k in own], [lb[k] for k in own], tau)
-                at += step
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            for t in range(1, tau + 1):
+                order = np.flatnonzero(least == t)
+                order = order[np.argsort(size[order], kind="stable")]
+                at = 0
+                while at < len(order):  # pairs of like length together, about a fixed number of cells a call
+                    step = max(1, min(_PAIRS, (1 << 21) // max(1, int(size[order[min(len(order) - 1, at + _PAIRS)]]))))
+                    own = order[at : at + step]
+                    good[own] = within([la[k] for k in own], [lb[k] for k in own], t)
+                    at += step
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good))
 
-    return pairs.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "ca", "b", "cb", "la", "lb").mapInArrow(verify, "a long, ca long, b long, cb long")
 
 
-def _pair_batches(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if left:
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64))], ["a", "b"])
+def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(held), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in range(2)], ["a", "b"])
 
 
-def removals(docs: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
+def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """(doc_id, rid, dropped): the numbers of the lines of each document that occur earlier, ascending."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,45 +287,48 @@ def removals(docs: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataF
             starts, ends, texts = line_spans(raw, off)
             blank = np.r_[0, np.cumsum(~common._SPACE[raw])]
             full = np.flatnonzero(blank[ends] > blank[starts])
-            text = common.owner(texts)
-            ids = common.range_hash(common._BYTE[raw], starts, ends)
-            take = pa.array(text[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((np.arange(len(starts)) - texts[text])[full].astype(np.int32)), pa.array(ids[full].view(np.int64))], ["doc_id", "rid", "line_no", "h"])
+            text = common.owner(texts)[full]
+            take = pa.array(text)
+            h, c = common.wide_hash(raw, starts[full], ends[full])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((full - texts[text]).astype(np.int32)), pa.array(h), pa.array(c)], ["doc_id", "rid", "line_no", "h", "c"])
 
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    lines = common.table(source.mapInArrow(narrow, "doc_id long, rid long, line_no int, h long"), "lines")
+    lines = common.table(source.mapInArrow(narrow, "doc_id long, rid long, line_no int, h long, c long"), "lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid", "line_no")
-    pairs = common.table(near_pairs(docs, tau, least), "line-near")
-    both = pairs.select(F.col("a").alias("h"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    pairs = common.table(near_pairs(docs, tau), "line-near")
+    both = pairs.selectExpr("a h", "ca c", "b other", "cb oc").union(pairs.selectExpr("b", "cb", "a", "ca"))
+    firsts = lines.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # Only lines that repeat or have a near line can lose anything.
-    touched = both.select("h").distinct().withColumn("near", F.lit(True))
-    known = common.table(firsts.join(touched, "h", "left").where("n > 1 OR near"), "line-first")
-    late = both.join(known.select("h", "first"), "h").join(known.select(F.col("h").alias("other"), F.col("first").alias("of")), "other").where("of < first").select("h").distinct().withColumn("late", F.lit(True))
-    rule = known.join(late, "h", "left").select("h", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    touched = both.select("h", "c").distinct().withColumn("near", F.lit(True))
+    known = common.table(firsts.join(touched, ["h", "c"], "left").where("n > 1 OR near"), "line-first")
+    late = both.join(known.select("h", "c", "first"), ["h", "c"]).join(known.selectExpr("h other", "c oc", "first of"), ["other", "oc"]).where("of < first").select("h", "c").distinct().withColumn("late", F.lit(True))
+    rule = known.join(late, ["h", "c"], "left").select("h", "c", "first", F.coalesce("late", F.lit(False)).alias("late"))
     rule = common.table(rule, "line-rule")
-    gone = lines.join(common.checked(rule), "h").where(F.col("late") | (place != F.col("first")))
+    gone = lines.join(common.checked(rule), ["h", "c"]).where(F.col("late") | (place != F.col("first")))
     return gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
-    """``docs`` with the later of equal and near-equal lines taken out of ``text``; adds ``lines_dropped``.
+def dedup(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """``docs`` with the later of equal and near lines taken out of ``text``; adds ``lines_dropped``.
 
     The first of each is kept, by doc_id (null first), then hash of the text, then line number.  Blank lines are
     never dropped.  A line is dropped if any near line is earlier, even if that one is dropped itself.  Lines of less
-    than ``least`` bytes match equal ones only.  Null texts stay null; a text whose lines are all dropped becomes ''.
-    Rows alike in id and text are one document, so they stay alike.  Other columns are kept (one named
+    than ``EVERY`` bytes may be no edit away, so they match equal ones only.  Null texts stay null; a text whose lines
+    are all dropped becomes ''.  Lines and texts of any length are compared and rebuilt whole, in time proportional to
+    their length.  Rows alike in id and text are one document, so they stay alike.  Other columns are kept (one named
     ``lines_dropped`` is replaced), n_chars is not changed; an empty table gives an empty result.
     """
     own = [c for c in docs.columns if c != "lines_dropped"]
-    gone = common.table(removals(docs, tau, least), "line-gone")
+    gone = common.table(removals(docs, tau), "line-gone")
     row = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("r"))
-    side = common.checked(gone.select(F.col("doc_id").alias("d2"), F.col("rid").alias("r2"), "dropped"), 200_000)
+    side = common.checked(gone.select(F.col("doc_id").alias("d2"), F.col("rid").alias("r2"), "dropped"))
     joined = row.join(side, row["d"].eqNullSafe(F.col("d2")) & (row["r"] == F.col("r2")), "left")
-    lines = F.split("row.text", "\\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in own], F.coalesce(F.size("dropped"), F.lit(0)).alias("lines_dropped"))
+    # The arrays of one element make Spark split a text once, and not once for each line and each use of the new text.
+    cut = joined.select("row", "dropped", F.explode(F.array(F.when(F.col("dropped").isNotNull(), F.split("row.text", "\n")))).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    whole = cut.select("row", F.explode(F.array(text)).alias("new"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n"))
+    return whole.select(*[F.col("new").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in own], F.col("n").alias("lines_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +338,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT doc_id, line_no, line, trim(line) = '' AS blank, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM l),
-u AS (SELECT line, doc_id, line_no, strlen(line) AS n, length(replace(line, 'a', '')) AS a, length(replace(line, 'e', '')) AS e, length(replace(line, 'n', '')) AS c, length(replace(line, 't', '')) AS t, length(replace(line, 'r', '')) AS r, length(line) AS k FROM f WHERE nth = 1 AND strlen(line) >= 24 AND NOT blank),
+u AS (SELECT line, doc_id, line_no, strlen(line) AS n, length(replace(line, 'a', '')) AS a, length(replace(line, 'e', '')) AS e, length(replace(line, 'n', '')) AS c, length(replace(line, 't', '')) AS t, length(replace(line, 'r', '')) AS r, length(line) AS k FROM f WHERE nth = 1 AND strlen(line) >= 12 AND NOT blank),
 near AS (SELECT DISTINCT x.line FROM u x JOIN u y ON x.n BETWEEN y.n - 2 AND y.n + 2 AND (y.doc_id, y.line_no) < (x.doc_id, x.line_no) AND x.line <> y.line
  AND abs(x.k - x.a - y.k + y.a) <= 2 AND abs(x.k - x.e - y.k + y.e) <= 2 AND abs(x.k - x.c - y.k + y.c) <= 2 AND abs(x.k - x.t - y.k + y.t) <= 2 AND abs(x.k - x.r - y.k + y.r) <= 2
- WHERE levenshtein(x.line, y.line) <= 2),
+ WHERE levenshtein(x.line, y.line) <= least(2, least(x.n, y.n) // 12)),
 m AS (SELECT f.*, NOT blank AND (nth > 1 OR near.line IS NOT NULL) AS gone FROM f LEFT JOIN near USING (line))
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(count(*) FILTER (gone) AS INTEGER) AS lines_dropped FROM m GROUP BY doc_id"""

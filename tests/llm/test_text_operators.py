@@ -93,7 +93,7 @@ def near(a: bytes, b: bytes, tau: int) -> bool:
     return max((x - y).total(), (y - x).total()) <= tau and distance(a, b) <= tau
 
 
-def brute_lines(rows, tau=2, least=24):
+def brute_lines(rows, tau=2, every=12):
     seen, known, out = [], set(), {}
     for i, text in sorted(rows):
         kept, dropped = [], 0
@@ -102,7 +102,7 @@ def brute_lines(rows, tau=2, least=24):
             if not line.strip(" \t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
                 kept.append(line)
                 continue
-            if raw in known or any(len(raw) >= least and len(o) >= least and near(raw, o, tau) for o in seen):
+            if raw in known or any(near(raw, o, min(tau, min(len(raw), len(o)) // every)) for o in seen):
                 dropped += 1
             else:
                 kept.append(line)
@@ -130,6 +130,41 @@ def test_line_dedup_brute_force(docs):
     assert got == brute_lines(rows)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_lines_whose_polynomial_hashes_collide(docs, n):
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in line_dedup.dedup(docs([(1, a), (2, b), (3, b)])).collect()}
+    assert got == {1: (a, 0), 2: (b, 0), 3: ("", 1)}
+
+
+def test_long_text_is_rebuilt_in_linear_time(spark, docs):
+    import time
+
+    rng = random.Random(3)
+    lines = [" ".join(words(rng, 5)) for _ in range(16_000)]
+    df = docs([(1, lines[5]), (2, "\n".join(lines))]).cache()
+    line_dedup.dedup(docs([(1, lines[5]), (2, lines[5])])).collect()
+    began = time.time()
+    line_dedup.dedup(docs([(1, lines[5]), (2, lines[5])])).collect()
+    small, began = time.time() - began, time.time()
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert got == {i: t for i, (t, _) in brute_lines_equal([(1, lines[5]), (2, "\n".join(lines))]).items()}
+    assert time.time() - began < small + 10
+
+
+def brute_lines_equal(rows):
+    seen, out = set(), {}
+    for i, t in rows:
+        kept = [x for x in t.split("\n") if not (x in seen or seen.add(x))]
+        out[i] = ("\n".join(kept), 0)
+    return out
+
+
 def test_line_dedup_awkward(awkward, nothing):
     got = line_dedup.dedup(awkward)
     assert got.columns == [*awkward.columns, "lines_dropped"]
