@@ -57,11 +57,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def parts_for(spark: SparkSession, size: float) -> int:
-    """Targets of a packed exchange of about ``size`` bytes: no more than 32 MB each, whatever the setting."""
+    """Targets of a packed exchange of about ``size`` bytes: no more than 16 MB each, whatever the setting."""
     return max(partitions(spark), int(size // PART_BYTES) + 1)
 
 
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: A side is broadcast only if it has at most this many rows and its files this many bytes; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
@@ -150,7 +150,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text, so that working memory is bounded."""
+    """The same rows in batches of about ``most`` bytes of text and 60,000 rows, so that working memory is bounded."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -159,6 +159,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(off, off[start] + most, side="right")) - 1)
+            end = min(end, start + 60_000)
             yield batch.slice(start, end - start)
             start = end
 

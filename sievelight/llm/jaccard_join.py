@@ -2,18 +2,21 @@
 
 Texts are sets of word n-grams; Jaccard distance is a metric, and texts within r = 1 - threshold are joined.
 
-Far-apart sets all have distance 1 to every pivot, so pivots alone can't part a corpus.  The corpus is first cut into
-neighbourhoods outside of which no pair can match (prefix principle: under any global order of the n-grams, two sets
-that match share at least l of their first |x| - ceil(t|x|) + l n-grams):
-
-* n-grams are ordered by (frequent, hash); equal sets are one node;
-* nodes that meet in small neighbourhoods often enough are candidates, and both go to the region of one's pivot, the
-  smallest of its candidates;
-* each large neighbourhood is a region around a pivot, in which all members are joined with each other.
-
-A region receives each member's set once.  In a large region further pivots create Voronoi cells; a set is replicated
-into another cell if the triangle inequality leaves a match there possible; cells join recursively, and by exact
-overlaps once they are small or no longer shrink.
+Far-apart sets all have distance 1 to every pivot, so pivots alone can't part a corpus.  Regions are therefore found in
+two exact steps, each of which only rules pairs out:
+
+1. Prefix principle: under any global order of the n-grams, two sets that match share at least l of their first
+   |x| - ceil(t|x|) + l n-grams.  Rare n-grams come first.  Sets that meet often enough are candidates of each other;
+   the sets of a large neighbourhood are all candidates of each other.
+2. Bitmaps of 4 to 8 bits an n-gram travel to the region of a candidate's pivot.  An n-gram whose bit the other set
+   doesn't have isn't shared, which bounds the overlap from above; pairs below the bound go.
+
+The pairs that stay are nearly those that match.  Now every set's pivot is the smallest set that it is paired with, or
+itself.  The sets of one pivot are a cell; a set is replicated into another cell if it is paired with a set at home
+there.  Whole sets travel only here, as texts.  Inside a cell further pivots create Voronoi cells; a set is replicated
+into another one if the triangle inequality leaves a match there possible; cells join recursively, and by exact
+overlaps once they are small or no longer shrink.  A pair is given by the cell in which its smaller set is at home, so
+no pair is given twice.  Regions of more n-grams than a task should hold are cut into a grid of blocks.
 """
 
 from __future__ import annotations
@@ -32,10 +35,16 @@ N = 3
 THRESHOLD = 0.5
 #: An n-gram of more sets than this is sorted behind all others.  Any choice gives the same result.
 FREQUENT = 32
+#: So many n-grams are sent to all tasks at most: in a corpus of G n-grams, those of more than G / FREQUENT_TOTAL sets
+#: count as frequent, which can't be more than that.
+FREQUENT_TOTAL = 2_000_000
 #: A neighbourhood of more nodes than this is joined as a region instead of by pairs.  Any choice gives the same result.
 PAIRWISE = 48
+#: A region of more n-grams than this is cut into blocks that meet in pairs.  Any choice gives the same result.
+REGION_BITS = 64_000_000
+REGION_SETS = 4_000_000
 _WINDOW = 1 << 21
-_MOST_FREQUENT = 2_000_000
+_PAIRS = 1 << 21
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +75,55 @@ def least_common(size: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(1, np.ceil(size * t - 1e-9).astype(np.int64) // 8)
 
 
+def bitmaps(grams: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a power of two of at least 4 bits an n-gram and 64 bits; an n-gram's bit is its hash modulo that."""
+    size = np.diff(off)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * size, 1)))).astype(np.int64)
+    begin = np.cumsum(bits) - bits
+    at = (common.mix(grams) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(begin, size)
+    flat = np.zeros(int(bits.sum()), np.uint8)
+    flat[at] = 1
+    raw = np.packbits(flat, bitorder="little").tobytes()
+    return [raw[a // 8 : (a + n) // 8] for a, n in zip(begin.tolist(), bits.tolist(), strict=True)]
+
+
+def _most(x: np.ndarray, size_x: np.ndarray, y: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """(len(x), len(y)): the most n-grams that sets with these bitmaps can share."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    both = np.bitwise_count(x[:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64)
+    spare_x = size_x - np.bitwise_count(x).sum(axis=1, dtype=np.int64)  # n-grams that share their bit with another
+    spare_y = size_y - np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+    return both + np.minimum(spare_x[:, None], spare_y[None, :])
+
+
+def possible(size: np.ndarray, maps: list[bytes], t: float, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (i, j), i before j by size, of the pairs that sizes and bitmaps don't rule out; of different groups, if given."""
+    order = np.argsort(size, kind="stable")
+    width = np.array([len(maps[k]) for k in order.tolist()], np.int64)
+    cuts = np.flatnonzero(np.r_[True, width[1:] != width[:-1]][: len(width)])
+    classes = [(order[a:b], np.frombuffer(b"".join([maps[k] for k in order[a:b].tolist()]), np.uint64).reshape(b - a, -1)) for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(width)].tolist(), strict=True)]
+    for c, (own, x) in enumerate(classes):
+        for d in range(c, len(classes)):
+            other, y = classes[d]
+            if t * size[other[0]] > size[own[-1]] + 1e-9:
+                break
+            step = max(1, (1 << 20) // max(1, len(other) * min(x.shape[1], y.shape[1])))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                whole = size[some][:, None] + size[other][None, :]
+                good = (_most(x[at : at + step], size[some], y, size[other]) * (1 + t) >= t * whole - 1e-6) & (size[some][:, None] >= t * size[other][None, :] - 1e-9)
+                if c == d:
+                    good &= np.arange(at, at + len(some))[:, None] < np.arange(len(other))[None, :]
+                if group is not None:
+                    good &= group[some][:, None] != group[other][None, :]
+                i, j = np.nonzero(good)
+                if len(i):
+                    yield some[i], other[j]
+
+
 def region_join(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 12) -> list[tuple[int, int, int]]:
     """(i, j, overlap) of all pairs with Jaccard >= t, i < j, by recursive pivots; exact."""
     if not sets:
@@ -129,12 +187,14 @@ def region_join(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 1
     return [(i, j, o) for (i, j), o in out.items()]
 
 
-def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, node, size) of every document, sorted hashes of frequent n-grams).
+def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
+    """((doc_id, rid, node, size, bits) of every document, sorted hashes of frequent n-grams, how many n-grams there are).
 
-    An n-gram is counted in a task if several sets of a window of n-grams have it; the counts are then added up.  If
-    there are more than 2,000,000 frequent n-grams, the most frequent are used: the order need not be complete.
+    A node is a set; of the rows of one node in a batch, the first has its bitmap.  An n-gram is counted in a task if
+    several sets of a window of n-grams have it; the counts are then added up.
     """
+    schema = "part int, blob binary, doc_id long, rid long, node long, size int, bits binary"
+    names = [x.split()[0] for x in schema.split(", ")]
     parts = common.partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,53 +205,98 @@ def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             grams, times = grams[times > 1], times[times > 1].astype(np.uint32)
             return list(common.pack((grams % np.uint64(parts)).astype(np.int64), [grams, times]))
 
-        def rows(packed, ids=None, off=None, node=None):
-            m, d = len(packed), 0 if ids is None else len(ids)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in packed] + [None] * d, pa.int32()), pa.array([b for _, b in packed] + [None] * d, pa.binary()), pa.concat_arrays([pa.nulls(m, pa.int64()), ids]) if d else pa.nulls(m, pa.int64()), pa.array([None] * m + (node.view(np.int64).tolist() if d else []), pa.int64()), pa.array([None] * m + (np.diff(off).tolist() if d else []), pa.int32())],
-                ["part", "blob", "doc_id", "node", "size"],
-            )
-
         for batch in common.slices(batches, "text"):
-            grams, off = gram_sets(batch.column(1), n)
-            node = node_ids(grams, off)
+            grams, off = gram_sets(batch.column(2), n)
+            node, size = node_ids(grams, off), np.diff(off)
             _, once = np.unique(node, return_index=True)
             pick = np.zeros(len(node), bool)
             pick[once] = True
-            held.append(grams[np.repeat(pick, np.diff(off))])
+            maps = bitmaps(grams, off)
+            d = len(node)
+            yield pa.RecordBatch.from_arrays([pa.nulls(d, pa.int32()), pa.nulls(d, pa.binary()), batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size.astype(np.int32)), pa.array([m if p else None for m, p in zip(maps, pick.tolist(), strict=True)], pa.binary())], names)
+            held.append(grams[np.repeat(pick, size)])
             n_held += len(held[-1])
-            packed = []
             if n_held > _WINDOW:
-                packed, held, n_held = flush(), [], 0
-            yield rows(packed, batch.column(0), off, node)
+                yield _only_packed(flush(), names)
+                held, n_held = [], 0
         if n_held:
-            yield rows(flush())
+            yield _only_packed(flush(), names)
 
-    made = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    made = common.table(made.mapInArrow(count, "part int, blob binary, doc_id long, node long, size int"), "jaccard-nodes")
+    made = common.table(_source(docs).mapInArrow(count, schema), "jaccard-nodes")
+    total = made.agg(F.sum("size")).first()[0] or 0
+    often_from = max(FREQUENT, total // FREQUENT_TOTAL)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = common.unpack_all(batches, [np.uint64, np.uint32])
         unique, index = np.unique(grams, return_inverse=True)
-        total = np.bincount(index, times, len(unique)).astype(np.int64)
-        keep = total > FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(unique[keep].view(np.int64)), pa.array(total[keep])], ["gram", "total"])
+        keep = np.bincount(index, times, len(unique)).astype(np.int64) > often_from
+        yield pa.RecordBatch.from_arrays([pa.array(unique[keep].view(np.int64))], ["gram"])
+
+    often = common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(add, "gram long")
+    top = often.toArrow()["gram"].to_numpy()
+    return made.where("node IS NOT NULL").drop("part", "blob"), np.sort(top.view(np.uint64)), total
+
+
+def _only_packed(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
+    packed, m = common.packed_batch(rows), len(rows)
+    return pa.RecordBatch.from_arrays([packed.column(0), packed.column(1), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+
 
-    often = common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(add, "gram long, total long")
-    top = often.orderBy(F.desc("total"), "gram").limit(_MOST_FREQUENT).select("gram").toArrow()["gram"].to_numpy()
-    return made.where("node IS NOT NULL").select("doc_id", "node", "size"), np.sort(top.view(np.uint64))
+def _source(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, text): the text in lower case; rid tells texts of one id apart."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return named.select("doc_id", F.xxhash64("text").alias("rid"), "text")
 
 
-def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
-    """(a, b, overlap, jaccard) of all pairs of different nodes with Jaccard >= t, a < b."""
+def _blocks(regions: DataFrame, most: int) -> DataFrame:
+    """``regions`` (pivot, member, size, ...) with ``low``, ``high`` and ``block``: a region of more than ``most``
+    n-grams is cut into g blocks by member, and a member goes to the g pairs of blocks that hold its own."""
+    large = common.table(regions.groupBy("pivot").agg(F.ceil(F.sum("size") / most).alias("g")).where("g > 1"), "jaccard-large")
+    placed = regions.join(common.checked(large), "pivot", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("member"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    return placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("g", "other")
+
+
+_KEY = ("pivot", "low", "high")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (pivot, low, high), which come sorted, as one table, each member once."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.Table:
+        found = pa.Table.from_batches(held)
+        member = found["member"].to_numpy()
+        once = np.sort(np.unique(member, return_index=True)[1])
+        return found.take(pa.array(once)) if len(once) < len(member) else found
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in _KEY])
+        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], batch.num_rows].tolist(), strict=True):
+            now = tuple(keys[:, a].tolist())
+            if held and now != last:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield whole()
+
+
+def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: float) -> DataFrame:
+    """(pivot, member) of the regions in which every pair with Jaccard >= t meets; a pivot is a member of its region."""
     spark = docs.sparkSession
-    parts = common.partitions(spark)
+    parts = common.parts_for(spark, 5 * total)
     often = spark.sparkContext.broadcast(frequent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = often.value
         for batch in common.slices(batches, "text"):
-            grams, off = gram_sets(batch.column(0), n)
+            grams, off = gram_sets(batch.column(2), n)
             node, size = node_ids(grams, off), np.diff(off)
             _, once = np.unique(node, return_index=True)
             pick = np.zeros(len(node), bool)
@@ -213,30 +318,36 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
                 continue
             part = (grams % np.uint64(parts)).astype(np.int64)
             short = (grams >> np.uint64(32)).astype(np.uint32)
+            # n-grams of a text that look alike by target and half a hash count once, so so many less may be met.
+            order = np.lexsort((short, part, doc))
+            alike = order[1:][(doc[order][1:] == doc[order][:-1]) & (part[order][1:] == part[order][:-1]) & (short[order][1:] == short[order][:-1])]
+            need = np.maximum(1, need - np.bincount(doc[alike], minlength=len(size)))
             order = np.argsort(part, kind="stable")
-            part, short, doc = part[order], short[order], doc[order].astype(np.int32)
+            part, short, doc = part[order], short[order], doc[order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
             for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(part)].tolist(), strict=True):
                 own, local = np.unique(doc[a:b], return_inverse=True)
                 head = np.array([b - a, len(own)], np.int64).tobytes()
-                rows.append((int(part[a]), head + node[own].tobytes() + size[own].astype(np.int32).tobytes() + short[a:b].tobytes() + local.astype(np.int32).tobytes()))
+                rows.append((int(part[a]), head + node[own].tobytes() + size[own].astype(np.int32).tobytes() + need[own].astype(np.int32).tobytes() + short[a:b].tobytes() + local.astype(_LOCAL).tobytes()))
             yield common.packed_batch(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, grams, where, base = [], [], [], [], 0
+        ids, sizes, needs, grams, where, base = [], [], [], [], [], 0
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 m, k = np.frombuffer(blob, np.int64, 2).tolist()
                 ids.append(np.frombuffer(blob, np.uint64, k, 16))
                 sizes.append(np.frombuffer(blob, np.int32, k, 16 + 8 * k))
-                grams.append(np.frombuffer(blob, np.uint32, m, 16 + 12 * k).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
-                where.append(np.frombuffer(blob, np.int32, m, 16 + 12 * k + 4 * m).astype(np.int64) + base)
+                needs.append(np.frombuffer(blob, np.int32, k, 16 + 12 * k))
+                grams.append(np.frombuffer(blob, np.uint32, m, 16 + 16 * k).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
+                where.append(np.frombuffer(blob, _LOCAL, m, 16 + 16 * k + 4 * m).astype(np.int32) + np.int32(base))
                 base += k
         if not ids:
             return
         node, first, code = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[first].astype(np.int64)
+        size, need = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(needs)[first].astype(np.int64)
+        del ids, sizes, needs
         grams, who = np.concatenate(grams), code[np.concatenate(where)]
         order = np.lexsort((who, grams))
         grams, who = grams[order], who[order]
@@ -244,82 +355,117 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, n: int
         grams, who = grams[keep], who[keep]
         cuts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         m = np.diff(np.r_[cuts, len(grams)])
-        need = least_common(size, t)
-        low, high = [], []
-        for k in np.unique(m[(m > 1) & (m <= PAIRWISE)]).tolist():
-            block = who[cuts[m == k][:, None] + np.arange(k)[None, :]]
-            i, j = np.triu_indices(k, 1)
-            x, y = block[:, i].ravel(), block[:, j].ravel()
-            fits = (size[x] >= t * size[y] - 1e-9) & (size[y] >= t * size[x] - 1e-9)
-            low.append(x[fits])
-            high.append(y[fits])
         schema = ["pivot", "member", "times", "need"]
-        if low:
-            pair, times = np.unique(np.concatenate(low) * len(node) + np.concatenate(high), return_counts=True)
+
+        def rows(pair: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
             x, y = pair // len(node), pair % len(node)
             yield from common.to_batches(dict(zip(schema, [pa.array(node[x].view(np.int64)), pa.array(node[y].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.minimum(need[x], need[y]).astype(np.int32))], strict=True)))
-        stars = [np.stack([np.full(k, who[c]), who[c : c + k]], 1) for c, k in zip(cuts[m > PAIRWISE].tolist(), m[m > PAIRWISE].tolist(), strict=True)]
-        if stars:
-            star = np.unique(np.concatenate(stars), axis=0)
-            yield from common.to_batches(dict(zip(schema, [pa.array(node[star[:, 0]].view(np.int64)), pa.array(node[star[:, 1]].view(np.int64)), pa.nulls(len(star), pa.int32()), pa.nulls(len(star), pa.int32())], strict=True)))
 
-    text = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    met = common.exchange(text.mapInArrow(send, common.PACKED), parts).mapInArrow(meet, "pivot long, member long, times int, need int")
+        # Pairs are counted in blocks of a fixed number; the counts of several blocks add up later.
+        low: list[np.ndarray] = []
+        held = 0
+        for k in np.unique(m[(m > 1) & (m <= PAIRWISE)]).tolist():
+            i, j = np.triu_indices(k, 1)
+            at = cuts[m == k]
+            for c in range(0, len(at), max(1, _PAIRS // len(i))):
+                block = who[at[c : c + max(1, _PAIRS // len(i))][:, None] + np.arange(k)[None, :]]
+                x, y = block[:, i].ravel(), block[:, j].ravel()
+                fits = (size[x] >= t * size[y] - 1e-9) & (size[y] >= t * size[x] - 1e-9)
+                low.append(x[fits] * len(node) + y[fits])
+                held += len(low[-1])
+                if held > _PAIRS:
+                    yield from rows(*np.unique(np.concatenate(low), return_counts=True))
+                    low, held = [], 0
+        if held:
+            yield from rows(*np.unique(np.concatenate(low), return_counts=True))
+        star, held = [], 0
+        for c, k in zip(cuts[m > PAIRWISE].tolist(), m[m > PAIRWISE].tolist(), strict=True):
+            star.append(who[c] * len(node) + who[c : c + k])
+            held += k
+            if held > _PAIRS:
+                star = [np.unique(np.concatenate(star))]
+                held = len(star[0])
+        if star:
+            both = np.unique(np.concatenate(star))
+            yield from common.to_batches(dict(zip(schema, [pa.array(node[both // len(node)].view(np.int64)), pa.array(node[both % len(node)].view(np.int64)), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32())], strict=True)))
+
+    met = common.exchange(_source(docs).mapInArrow(send, common.PACKED), parts).mapInArrow(meet, "pivot long, member long, times int, need int")
     regions = met.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.min("need").alias("need"), F.max(F.col("times").isNull()).alias("full"))
     met = common.table(regions.where("full OR times >= need").select("pivot", "member", "full"), "jaccard-met")
     # Each node's pivot is its smallest candidate partner; both nodes of a pair go to the pivot of the first, so a
     # family of near copies is one region that has each set once, and not a region for each pair.
     pairs = met.where("NOT full").select(F.col("pivot").alias("x"), F.col("member").alias("y"))
-    nearest = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
-    placed = pairs.join(nearest, "x")
+    placed = pairs.join(_homes(pairs), "x")
     regions = met.where("full").select("pivot", "member").unionByName(placed.select("pivot", F.col("x").alias("member"))).unionByName(placed.select("pivot", F.col("y").alias("member")))
-    regions = common.table(regions.distinct(), "jaccard-regions")
+    return common.table(regions.distinct(), "jaccard-regions")
 
-    # One document of each node is read again for its set.
-    wanted = regions.select(F.col("member").alias("node")).distinct()
-    copies = members.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = common.table(copies.select("node", F.col("doc_id").alias("id")), "jaccard-chosen")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            grams, off = gram_sets(batch.column(0), n)
-            node, raw, cut = node_ids(grams, off).view(np.int64), grams.tobytes(), (off * 8).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "grams"])
+#: Texts of one batch (``common.slices``) have fewer nodes than this type holds.
+_LOCAL = np.uint16
 
-    side = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    again = side.join(common.checked(chosen.select("id").distinct()), side["doc_id"].eqNullSafe(F.col("id")), "left_semi").select("text")
-    content = again.mapInArrow(sets, "node long, grams binary").withColumnRenamed("node", "member")
-    # Few regions are broadcast, so that the sets move once, to their regions; many are joined by a shuffle.
-    placed = content.join(common.checked(regions), "member").select("pivot", "member", "grams").repartition(parts, "pivot").sortWithinPartitions("pivot")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids: list[int], sets_: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
-            index = dict(zip(ids, sets_, strict=True))
-            name, whole = list(index), list(index.values())
-            return [(min(name[i], name[j]), max(name[i], name[j]), o, o / (len(whole[i]) + len(whole[j]) - o)) for i, j, o in region_join(whole, t)]
+def _homes(pairs: DataFrame) -> DataFrame:
+    """(x, pivot): for every node of ``pairs`` (x, y) the smallest of its partners and itself."""
+    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
 
-        held: tuple[list, list] = ([], [])
-        now, found = None, []
-        kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
 
-        def drain() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kind, strict=True)], schema=kind)
+def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, total: int, n: int, t: float) -> DataFrame:
+    """(a, b, overlap, jaccard) of all pairs of different nodes with Jaccard >= t, a < b, each once."""
+    parts = common.partitions(docs.sparkSession)
+    regions = _candidates(docs, frequent, total, n, t)
+    # One document stands for each node.
+    wanted = common.table(regions.select(F.col("member").alias("node")).distinct(), "jaccard-wanted")
+    mapped = members.where("bits IS NOT NULL").join(common.checked(wanted), "node", "left_semi")
+    chosen = common.table(mapped.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("of"), F.first("size").alias("size")).select(F.col("node").alias("member"), "of.*", "size"), "jaccard-chosen")
+    placed = common.table(_blocks(regions.join(common.checked(chosen), "member"), REGION_BITS), "jaccard-placed")
+    maps = members.where("bits IS NOT NULL").select("doc_id", "rid", "bits")
+    sifted = maps.join(common.checked(placed), ["doc_id", "rid"]).select(*_KEY, "block", "member", "size", "bits")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
 
-        for batch in batches:
-            for pivot, member, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if pivot != now:
-                    found += solve(*held)
-                    now, held = pivot, ([], [])
-                    if len(found) > 50_000:
-                        yield drain()
-                        found = []
-                held[0].append(member)
-                held[1].append(np.frombuffer(raw, np.uint64))
-        found += solve(*held)
-        if found:
+        def drain() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["x", "y"])
+
+        for group in _groups(batches):
+            member, size = group["member"].to_numpy(), group["size"].to_numpy().astype(np.int64)
+            cross = group["low"][0].as_py() != group["high"][0].as_py()
+            for i, j in possible(size, group["bits"].to_pylist(), t, group["block"].to_numpy() if cross else None):
+                held.append(np.stack([np.minimum(member[i], member[j]), np.maximum(member[i], member[j])], axis=1))
+                n_held += len(i)
+                if n_held > _PAIRS:
+                    yield drain()
+                    held, n_held = [], 0
+        if held:
             yield drain()
 
-    return placed.mapInArrow(join, "a long, b long, overlap long, jaccard double").dropDuplicates(["a", "b"])
+    pairs = sifted.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(sift, "x long, y long")
+    pairs = common.table(pairs.distinct(), "jaccard-sifted")
+    home = common.table(_homes(pairs), "jaccard-homes")
+    at = pairs.join(common.checked(home), "x")
+    regions = at.select("pivot", F.col("x").alias("member")).unionByName(at.select("pivot", F.col("y").alias("member"))).distinct()
+    regions = regions.join(common.checked(home.select(F.col("x").alias("member"), F.col("pivot").alias("home"))), "member").join(common.checked(chosen), "member")
+    regions = common.table(_blocks(regions.select("pivot", "member", "doc_id", "rid", "size", (F.col("home") == F.col("pivot")).alias("own")), REGION_SETS), "jaccard-cells")
+    # Few cells are broadcast, so that the texts move once, to their cells; many are joined by a shuffle.
+    cells = _source(docs).join(common.checked(regions), ["doc_id", "rid"]).select(*_KEY, "block", "member", "own", "text")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            grams, off = gram_sets(group["text"].combine_chunks(), n)
+            member, own, block = group["member"].to_numpy(), np.asarray(group["own"].combine_chunks()), group["block"].to_numpy()
+            cross, size = group["low"][0].as_py() != group["high"][0].as_py(), np.diff(off)
+            found = region_join([grams[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], t)
+            if not found:
+                continue
+            i, j, o = np.array(found, np.int64).T
+            swap = member[i] > member[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            keep = own[i] & ((block[i] != block[j]) | (not cross))
+            i, j, o = i[keep], j[keep], o[keep]
+            yield from common.to_batches({"a": pa.array(member[i]), "b": pa.array(member[j]), "overlap": pa.array(o), "jaccard": pa.array(o / (size[i] + size[j] - o))})
+
+    return cells.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(join, "a long, b long, overlap long, jaccard double")
 
 
 def _math_guard(t: float) -> None:
@@ -339,16 +485,23 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     """
     _math_guard(threshold)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    members, frequent = nodes(docs, n)
+    members, frequent, total = nodes(docs, n)
     members = members.where("size > 0")
-    pairs = join_nodes(docs, members, frequent, n, threshold)
-    named = common.table(members.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-names")
-    a, b = named.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), named.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
-    between = pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    equal = members.join(named.withColumnRenamed("doc_id", "first"), "node").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    pairs = common.table(join_nodes(docs, members, frequent, total, n, threshold), "jaccard-node-pairs")
+    named = common.table(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "jaccard-names")
+    near = _touched(named, pairs)
+    between = pairs.join(near.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    several = common.table(named.where("n > 1").select("node", F.col("doc_id").alias("first")), "jaccard-several")
+    equal = members.join(common.checked(several), "node").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return between.unionByName(equal).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _touched(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``named`` whose node is in ``pairs`` (a, b), to be broadcast if they are few."""
+    inside = common.table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-inside")
+    return common.checked(common.table(named.join(common.checked(inside), "node", "left_semi"), "jaccard-touched"))
+
+
 def join_all(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard): all pairs of documents with Jaccard >= threshold, doc_a < doc_b.
 
@@ -357,12 +510,14 @@ def join_all(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     """
     _math_guard(threshold)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    members, frequent = nodes(docs, n)
-    members = common.table(members.where("size > 0").select("node", "doc_id").distinct(), "jaccard-members")
-    pairs = join_nodes(docs, members, frequent, n, threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-    a, b = members.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
-    between = pairs.join(a, "a").join(b, "b").where("x != y")
-    equal = a.join(b, F.col("a") == F.col("b")).where("x < y").withColumn("jaccard", F.lit(1.0))
+    rows, frequent, total = nodes(docs, n)
+    members = common.table(rows.where("size > 0").select("node", "doc_id").distinct(), "jaccard-members")
+    pairs = common.table(join_nodes(docs, rows.where("size > 0"), frequent, total, n, threshold), "jaccard-node-pairs").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    near = _touched(members, pairs)
+    between = pairs.join(near.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b").where("x != y")
+    several = common.table(members.groupBy("node").count().where("count > 1").select("node"), "jaccard-several")
+    copies = common.checked(common.table(members.join(common.checked(several), "node", "left_semi"), "jaccard-copies"))
+    equal = copies.select("node", F.col("doc_id").alias("x")).join(copies.select("node", F.col("doc_id").alias("y")), "node").where("x < y").withColumn("jaccard", F.lit(1.0))
     out = between.select("x", "y", "jaccard").unionByName(equal.select("x", "y", "jaccard")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     # Two documents can meet more than once only if one of them has several sets.
     if members.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -392,11 +547,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group connected by ``join``; columns stay.
 
-    Documents that ``join`` doesn't pair all stay, so do rows with a null doc_id.
+    Documents that ``join`` doesn't pair all stay: so do rows with a null doc_id and null, empty and blank texts.  Rows
+    with equal doc_id are one document: they stay or go together.  Texts are compared whole; an empty table gives an
+    empty result; further columns of any name are kept.
     """
     pairs = common.table(join(docs, n, threshold), "jaccard-pairs")
-    gone = components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("id").alias("__gone"))
-    return docs.join(common.checked(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("id").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
+    return rows.join(common.checked(gone), F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,8 @@ def test_jaccard_brute_force(docs, monkeypatch, n, t):
     # Any frequency bound and any size of pairwise neighbourhood give the same result.
     monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
     monkeypatch.setattr(jaccard_join, "PAIRWISE", 2)
+    monkeypatch.setattr(jaccard_join, "REGION_BITS", 60)
+    monkeypatch.setattr(jaccard_join, "REGION_SETS", 90)
     assert {(r.doc_a, r.doc_b) for r in jaccard_join.join(docs(rows), n, t).collect()} == want
 
 
@@ -247,6 +249,26 @@ def test_region_join_is_exact():
         assert {(i, j) for i, j, _ in jaccard_join.region_join(sets, t)} == want
 
 
+def test_bitmaps_rule_out_no_match():
+    rng = random.Random(8)
+    base = rng.sample(range(1 << 40), 300)
+    sets = [np.array(sorted({*rng.sample(base, rng.randint(1, 250)), *(rng.randint(0, 1 << 40) for _ in range(rng.randint(0, 300)))}), np.uint64) for _ in range(90)]
+    off = np.r_[0, np.cumsum([len(x) for x in sets])]
+    maps, size = jaccard_join.bitmaps(np.concatenate(sets), off), np.diff(off)
+    for t in (0.3, 0.6):
+        left = {(min(i, j), max(i, j)) for a, b in jaccard_join.possible(size, maps, t) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (o := len(np.intersect1d(sets[i], sets[j]))) >= t * (size[i] + size[j] - o)}
+        assert want <= left and len(left) < 90 * 89 // 4
+
+
+def test_words_whose_polynomial_hashes_collide(docs):
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} {a} {b}"), (2, f"{b} {b} {a}"), (3, a), (4, b)]
+    assert jaccard_join.join_all(docs(rows)).count() == 0
+    assert substring_dedup.repeats(docs([(1, " ".join([a] * 50)), (2, " ".join([b] * 50))])).count() == 0
+
+
 def test_jaccard_awkward(awkward, nothing):
     pairs = {(r.doc_a, r.doc_b) for r in jaccard_join.join(awkward).collect()}
     assert pairs == set()
