@@ -21,16 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST = 2
+N_BEST = 5
 _KEEP = 200_000
 _BAR = "▁"
-_OWN = "\ue000"
 SCHEMA = "doc_id long, rank int, score double, ids array<int>, decoded_ok boolean"
 
 
@@ -53,7 +51,8 @@ class Lattice:
             raw = -np.log(np.maximum(-raw, 0) + 1.0) - harmonic
         self.score = raw
         self.text = [sp.id_to_piece(i) for i in range(size)]
-        self.piece = {self.text[i]: i for i in normal}
+        # Spaces stay spaces in the text, so pieces have them too; U+2581 itself is in no piece and is spelt by bytes.
+        self.piece = {self.text[i].replace(_BAR, " "): i for i in normal}
         self.longest = max(map(len, self.piece))
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
@@ -62,32 +61,41 @@ class Lattice:
         self.byte_score = worst
 
     def word(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one word, best first; equal scores in the order in which the search ends them."""
+        """The n best segmentations of one word, best first.
+
+        The best is that of the forward pass, which of equal scores takes the longer last piece at each place, like
+        ``Chart``; the others follow in the order in which the search ends them.
+        """
         size = len(word)
-        if size == 1 and word in self.piece:
-            i = self.piece[word]
-            return [(float(self.score[i]), (i,))]
         get, longest, score = self.piece.get, self.longest, self.score
-        best = [0.0] + [-math.inf] * size
+        best, back = [0.0] + [-math.inf] * size, [0] * (size + 1)
         into: list[list[tuple[int, tuple[int, ...], float]]] = [[]]
         for end in range(1, size + 1):
-            here, top = [], -math.inf
+            here, top, at = [], -math.inf, 0
             for start in range(max(0, end - longest), end):
                 i = get(word[start:end])
                 if i is not None:
                     s = score[i]
-                    here.append((start, (i,), s))
                     if best[start] + s > top:
-                        top = best[start] + s
+                        top, at = best[start] + s, len(here)
+                    here.append((start, (i,), s))
             if not here or here[-1][0] != end - 1:
-                ids = tuple(self.byte.get(b, self.unknown) for b in word[end - 1].replace(_OWN, _BAR).encode("utf-8", "replace"))
-                here.append((end - 1, ids, self.byte_score * len(ids)))
-                top = max(top, best[end - 1] + here[-1][2])
-            best[end] = top
+                ids = tuple(self.byte.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace"))
+                s = self.byte_score * len(ids)
+                if best[end - 1] + s > top:
+                    top, at = best[end - 1] + s, len(here)
+                here.append((end - 1, ids, s))
+            best[end], back[end] = top, at
             into.append(here)
+        steps, at = [], size
+        while at > 0:
+            start, ids, _ = into[at][back[at]]
+            steps.append(ids)
+            at = start
+        first = tuple(i for ids in reversed(steps) for i in ids)
         # Of states with equal bounds the one nearest to the start goes first, so ties don't widen the search.
-        out: list[tuple[float, tuple[int, ...]]] = []
-        queue: list[tuple] = [(-best[size], size, 0, 0.0, None)]
+        out: list[tuple[float, tuple[int, ...]]] = [(best[size], first)]
+        queue: list[tuple] = [(-best[size], size, 0, 0.0, None)] if n > 1 else []
         made = 0
         while queue and len(out) < n:
             bound, at, _, behind, chain = heapq.heappop(queue)
@@ -96,7 +104,8 @@ class Lattice:
                 while chain is not None:
                     ids += chain[0]
                     chain = chain[1]
-                out.append((-bound, tuple(ids)))
+                if tuple(ids) != first:
+                    out.append((min(-bound, best[size]), tuple(ids)))
                 continue
             for start, step, s in into[at]:
                 made += 1
@@ -104,6 +113,7 @@ class Lattice:
         return out
 
 
+#: Longer words are charted one by one instead of together with others of their length.  Any choice gives the same result.
 _LONGEST_WORD = 64
 _CELLS = 1 << 21
 
@@ -118,8 +128,9 @@ class Chart:
     def __init__(self, lattice: Lattice) -> None:
         self.lattice = lattice
         ids = np.array(sorted(lattice.piece.values()), np.int32)
-        # Spaces stay bytes 32 in the text, so U+2581 is written as one here; the character itself is spelt by bytes.
-        spelt = [lattice.text[i].replace(_BAR, " ").encode() for i in range(len(lattice.text))]
+        spelt = [bytes([lattice.value[i]]) if i in lattice.value else lattice.text[i].replace(_BAR, " ").encode() for i in range(len(lattice.text))]
+        # Piece of each byte that is a character by itself, for characters without a piece.
+        self.single = np.array([lattice.byte.get(b, -1) if b < 128 else -1 for b in range(256)], np.int32)
         self.size = np.array([len(x) for x in spelt], np.int64)
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
@@ -162,11 +173,11 @@ class Chart:
                 self._group(own, size, heads[first[own][:, None] + np.arange(size)], ends[own], total, inv, top, gap, ids, fine, raw)
         for k in np.flatnonzero(~fine).tolist():  # bytes beyond the vocabulary, and very long words
             word = raw[starts[k] : ends[k]].tobytes()
-            paths = self.lattice.word(spell(word), 2)
+            paths = self.lattice.word(word.decode("utf-8", "replace"), 2)
             top[k], ids[k] = paths[0][0], np.array(paths[0][1], np.int32)
             gap[k] = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
             fine[k] = decode_word(self.lattice, paths[0][1]).encode() == word
-        return top, gap, ids, fine
+        return top, np.round(gap, 9), ids, fine
 
     def _group(self, own, size, place, last, total, inv, top, gap, ids, fine, raw) -> None:
         m, longest, score = len(own), self.lattice.longest, self.lattice.score
@@ -180,11 +191,16 @@ class Chart:
             for start in range(max(0, end - longest), end):
                 a = place[:, start]
                 piece = self.find(common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64)))
+                bare = np.flatnonzero(piece < 0) if start == end - 1 else ()
+                if len(bare):
+                    piece[bare] = self.single[raw[a[bare]]]
                 known = np.flatnonzero(piece >= 0)
                 if not len(known):
                     continue
                 s = np.full(m, -np.inf)
                 s[known] = score[piece[known]]
+                if len(bare):
+                    s[bare] = np.where(piece[bare] >= 0, self.lattice.byte_score, -np.inf)
                 edge[start, end] = s
                 through = f[start] + s
                 better = through > f[end]
@@ -236,11 +252,6 @@ class Chart:
                 fine[own[some]] = wrong[begin + width] == wrong[begin]
 
 
-def spell(word: bytes) -> str:
-    """A word's text with U+2581 for spaces; U+2581 itself becomes U+E000, which no piece has, and is spelt by bytes."""
-    return word.decode("utf-8", "replace").replace(_BAR, _OWN).replace(" ", _BAR)
-
-
 def split_words(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Byte starts of the lattice's words: at each text's start and at a space that follows something else."""
     space = raw == 32
@@ -292,7 +303,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
         lattice = Lattice(model)
         chart = Chart(lattice)
         store = _Store()
-        rivals: dict[int, list[tuple[float, np.ndarray]]] = {}
+        rivals: dict[bytes, list[tuple[float, np.ndarray, bool]]] = {}
         for batch in common.slices(batches, "text"):
             raw, off = common.string_buffers(batch.column(1))
             d, full = batch.num_rows, np.diff(off) > 0
@@ -300,11 +311,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
             off = off + np.r_[0, np.cumsum(full)]
             starts = split_words(raw, off)
             ends = np.r_[starts[1:], len(raw)]
-            coded = pc.dictionary_encode(pa.array(common.range_hash(common._BYTE[raw], starts, ends))) if len(starts) else None
-            index = np.asarray(coded.indices) if coded is not None else np.zeros(0, np.int64)
-            unique = coded.dictionary.to_pylist() if coded is not None else []
-            at = np.empty(len(unique), np.int64)
-            at[index[::-1]] = np.arange(len(index))[::-1]
+            index, unique, at = common.distinct(raw, starts)
             slot = store.slots(unique)
             new = np.flatnonzero(slot < 0)
             if len(new):
@@ -316,13 +323,14 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
             total = np.r_[0, np.cumsum(each)]
             ids = store.flat[np.repeat(store.at[slot][index] - total[:-1], each) + np.arange(total[-1])]
             sums = np.r_[0.0, np.cumsum(store.top[slot][index])]
-            bad = np.r_[0, np.cumsum(~store.fine[slot][index])]
+            fine = store.fine[slot][index]
+            bad = np.r_[0, np.cumsum(~fine)]
             gap = store.gap[slot][index]
             bounds = total[words]
             doc_at, rank, value, parts, ok = [], [], [], [], []
             for k in range(d):
                 w0, w1 = int(words[k]), int(words[k + 1])
-                one, base, good = ids[bounds[k] : bounds[k + 1]], float(sums[w1] - sums[w0]), bool(bad[w1] == bad[w0])
+                one, base, wrong_words = ids[bounds[k] : bounds[k + 1]], float(sums[w1] - sums[w0]), int(bad[w1] - bad[w0])
                 # Only the words with the n - 1 smallest losses can differ in the n best.
                 m = min(n - 1, w1 - w0)
                 near = w0 + (np.argpartition(gap[w0:w1], m - 1)[:m] if 1 < m < w1 - w0 else gap[w0:w1].argmin(keepdims=True) if m == 1 else np.arange(m))
@@ -332,21 +340,22 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
                     u = unique[index[w]]
                     found = rivals.get(u)
                     if found is None:
-                        best = tuple(ids[total[w] : total[w + 1]].tolist())
-                        paths = lattice.word(spell(raw[starts[w] : ends[w]].tobytes()), n + 1)
-                        found = rivals[u] = [(max(0.0, float(store.top[slot[index[w]]]) - x), np.array(y, np.int32)) for x, y in paths if y != best][: n - 1]
+                        paths = lattice.word(u.decode("utf-8", "replace"), n)
+                        found = rivals[u] = [(paths[0][0] - x, np.array(y, np.int32), decode_word(lattice, y).encode() == u) for x, y in paths[1:]]
                     other.append(found)
-                losses = np.array([[0.0, *(x for x, _ in o), *[np.inf] * (n - 1 - len(o))] for o in other]).reshape(len(other), n)
+                losses = np.array([[0.0, *(x[0] for x in o), *[np.inf] * (n - 1 - len(o))] for o in other]).reshape(len(other), n)
                 for r, (loss, changed) in enumerate(best_sums(losses, n)):
                     doc_at.append(k)
                     rank.append(r + 1)
                     value.append(round(base - loss, 6))
-                    ok.append(good)
+                    wrong = wrong_words
                     cut, pieces = 0, []
                     for g, alt in sorted(changed.items(), key=lambda x: near[x[0]]):
+                        wrong += int(fine[near[g]]) - int(other[g][alt - 1][2])
                         lo = int(total[near[g]] - total[w0])
                         pieces += [one[cut:lo], other[g][alt - 1][1]]
                         cut = lo + int(each[near[g]])
+                    ok.append(wrong == 0)
                     parts.append(np.concatenate([*pieces, one[cut:]]) if changed else one)
             lens = np.array([len(p) for p in parts], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
@@ -356,20 +365,20 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
 
 
 class _Store:
-    """Solved words of a task by hash, in growing arrays; emptied when it has grown too large."""
+    """Solved words of a task, in growing arrays; emptied when it has grown too large."""
 
     def __init__(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.top, self.gap, self.fine = np.zeros(0), np.zeros(0), np.zeros(0, bool)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def slots(self, keys: list[int]) -> np.ndarray:
+    def slots(self, keys: list[bytes]) -> np.ndarray:
         if len(self.known) > 2 * _KEEP:
             self.__init__()
         get = self.known.get
         return np.array([get(h, -1) for h in keys], np.int64)
 
-    def add(self, keys: list[int], top: np.ndarray, gap: np.ndarray, ids: list[np.ndarray], fine: np.ndarray) -> np.ndarray:
+    def add(self, keys: list[bytes], top: np.ndarray, gap: np.ndarray, ids: list[np.ndarray], fine: np.ndarray) -> np.ndarray:
         base = len(self.top)
         place = np.arange(base, base + len(keys))
         self.known.update(zip(keys, place.tolist(), strict=True))

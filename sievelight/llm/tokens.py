@@ -6,7 +6,6 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from . import common
 
@@ -29,7 +28,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.uint16 if max(ranks.values()) < END_OF_DOCUMENT < 1 << 16 else np.uint32
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[bytes, np.ndarray] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts); equal to encoding each text whole.
@@ -48,20 +47,14 @@ class Encoder:
         start[1:] = white[1:] & solid[:-1]
         start[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(start)
-        ends = np.r_[starts[1:], n]
-        coded = pc.dictionary_encode(pa.array(common.range_hash(common._BYTE[raw], starts, ends)))
-        index, unique = np.asarray(coded.indices), coded.dictionary.to_pylist()
-        first = np.empty(len(unique), np.int64)
-        first[index[::-1]] = np.arange(len(index))[::-1]
+        index, unique, _ = common.distinct(raw, starts)
         if len(self.known) > _KEEP:
             self.known = {}
-        known, whole, encode = self.known, raw.tobytes(), self.core._core_bpe.encode_ordinary
-        a, b = starts[first].tolist(), ends[first].tolist()
-        got = []
-        for k, h in enumerate(unique):
-            ids = known.get(h)
+        known, encode, got = self.known, self.core._core_bpe.encode_ordinary, []
+        for piece in unique:
+            ids = known.get(piece)
             if ids is None:
-                ids = known[h] = np.array(encode(whole[a[k] : b[k]].decode("utf-8", "replace")), self.width)
+                ids = known[piece] = np.array(encode(piece.decode("utf-8", "replace")), self.width)
             got.append(ids)
         flat, size = np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
         place = np.cumsum(size) - size

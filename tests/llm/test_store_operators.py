@@ -187,7 +187,7 @@ def every_path(lattice, w):
 @pytest.mark.parametrize("n", [1, 2, 4])
 def test_nbest_brute_force(docs, lattice, n):
     rng = random.Random(n)
-    rows = [" ".join("".join(rng.choice("theanoéß日") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["a  b", " x", "\n\nab", "ab"]
+    rows = [" ".join("".join(rng.choice("theanoéß日") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["a  b", " x", "\n\nab", "ab", "a▁b", "a\ue000b", "\ue000", "▁"]
     got = {}
     encoded = nbest.encode(docs(rows), n)
     for r in encoded.collect():
@@ -197,7 +197,7 @@ def test_nbest_brute_force(docs, lattice, n):
         cut = [(" " + t)[a:b] for a, b in itertools.pairwise([*starts, len(t) + 1])]
         best = [(0.0, ())]
         for w in cut:
-            best = sorted(((s + x, i + y) for s, i in best for x, y in every_path(lattice, nbest.spell(w.encode()))[:n]), key=lambda x: -x[0])[:n]
+            best = sorted(((s + x, i + y) for s, i in best for x, y in every_path(lattice, w)[:n]), key=lambda x: -x[0])[:n]
         mine = sorted(got[k], key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == list(range(1, len(best) + 1))
         assert np.allclose([r.score for r in mine], [s for s, _ in best], atol=1e-5)
@@ -206,7 +206,7 @@ def test_nbest_brute_force(docs, lattice, n):
 
 
 def test_astar_is_in_order(lattice):
-    for w in ("▁there", "▁aaaa", "onthe", "▁日本"):
+    for w in (" there", " aaaa", "onthe", " 日本", " a▁b", "a\nb"):
         paths = every_path(lattice, w)
         assert np.allclose([s for s, _ in lattice.word(w, 12)], [s for s, _ in paths[:12]])
 
@@ -222,7 +222,34 @@ def test_nbest_awkward(awkward, nothing):
 
 
 def test_one_very_long_word(docs):
-    assert all(r.decoded_ok for r in nbest.encode(docs(["x" * 3000 + "日" * 50, "▁▁ ▁"])).collect())
+    rows = ["x" * 3000 + "日" * 50, "▁▁ ▁", "a\ue000b \ue000▁"]
+    encoded = nbest.encode(docs(rows), 4)
+    assert all(r.decoded_ok for r in encoded.collect())
+    assert {(r.doc_id, r.text) for r in nbest.decode(encoded).collect()} == set(enumerate(rows))
+
+
+def test_words_of_any_length_are_charted_alike(docs, monkeypatch):
+    rng = random.Random(6)
+    rows = ["".join(rng.choice("theano\n") for _ in range(n)) for n in (3, 30, 62, 63, 64, 65, 66, 90)]
+    rows += [" ".join(rows), "aaaa" * 16, "aaaa" * 17]
+    seen = []
+    for longest in (64, 1, 1000):
+        monkeypatch.setattr(nbest, "_LONGEST_WORD", longest)
+        seen.append(sorted((r.doc_id, r["rank"], tuple(r.ids), r.score, r.decoded_ok) for r in nbest.encode(docs(rows), 5).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 4 * len(rows)
+
+
+def test_pieces_whose_polynomial_hashes_collide(docs):
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    coded = {r.doc_id: r.ids for r in nbest.encode(docs([f"{a} {b}", f"{b} {a}"]), 1).collect()}
+    assert coded[0] != coded[1]
+    assert {r.text for r in nbest.decode(nbest.encode(docs([f"{a} {b}", f"{b} {a}"]), 3)).collect()} == {f"{a} {b}", f"{b} {a}"}
+    import pyarrow as pa
+
+    e = tokens.Encoder()
+    ids, off = e.encode(pa.array([f"{a} {b}"]))
+    assert ids.tolist() == e.core.encode_ordinary(f"{a} {b}")
 
 
 # --- nearest neighbours --------------------------------------------------------------------------------------------
