@@ -559,3 +559,12 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_all(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0b\f\r\x1c-\x1f ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(0, greatest(1, len(w) - 2)), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) AS gram FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, round(CAST(shared AS DOUBLE) / (x.size + y.size - shared), 6) AS jaccard
+FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared >= 0.5 * (x.size + y.size - shared)"""

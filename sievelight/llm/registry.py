@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nbest_encode": nbest.op9_nbest_encode,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
-SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_license_scan": license_scan.SQL, "op6_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op3_substring_dedup": substring_dedup.SQL, "op5_license_scan": license_scan.SQL, "op6_quality_rules": quality.SQL, "op8_jaccard_join": jaccard_join.SQL}
