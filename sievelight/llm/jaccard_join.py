@@ -8,7 +8,7 @@ two exact steps, each of which only rules pairs out:
 1. Prefix principle: under any global order of the n-grams, two sets that match share at least l of their first
    |x| - ceil(t|x|) + l n-grams.  Rare n-grams come first.  Sets that meet often enough are candidates of each other;
    the sets of a large neighbourhood are all candidates of each other.
-2. Bitmaps of 4 to 8 bits an n-gram travel to the region of a candidate's pivot.  An n-gram whose bit the other set
+2. Bitmaps of 2 to 4 bits an n-gram travel to the region of a candidate's pivot.  An n-gram whose bit the other set
    doesn't have isn't shared, which bounds the overlap from above; pairs below the bound go.
 
 The pairs that stay are nearly those that match.  Now every set's pivot is the smallest set that it is paired with, or
@@ -33,17 +33,17 @@ from . import common
 
 N = 3
 THRESHOLD = 0.5
-#: An n-gram of more sets than this is sorted behind all others.  Any choice gives the same result.
+#: n-grams are ordered by classes: those of at most this many sets, of at most twice as many, and so on.  Any choice
+#: gives the same result.
 FREQUENT = 32
-#: So many n-grams are sent to all tasks at most: in a corpus of G n-grams, those of more than G / FREQUENT_TOTAL sets
-#: count as frequent, which can't be more than that.
+#: The classes of so many n-grams are sent to all tasks at most: the bound above doubles until they are no more.
 FREQUENT_TOTAL = 2_000_000
 #: A neighbourhood of more nodes than this is joined as a region instead of by pairs.  Any choice gives the same result.
 PAIRWISE = 48
 #: A region of more n-grams than this is cut into blocks that meet in pairs.  Any choice gives the same result.
 REGION_BITS = 64_000_000
 REGION_SETS = 4_000_000
-_WINDOW = 1 << 21
+_WINDOW = 1 << 22
 _PAIRS = 1 << 21
 
 
@@ -76,9 +76,9 @@ def least_common(size: np.ndarray, t: float) -> np.ndarray:
 
 
 def bitmaps(grams: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: a power of two of at least 4 bits an n-gram and 64 bits; an n-gram's bit is its hash modulo that."""
+    """A bitmap of each set: a power of two of at least 2 bits an n-gram and 64 bits; an n-gram's bit is its hash modulo that."""
     size = np.diff(off)
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * size, 1)))).astype(np.int64)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1)))).astype(np.int64)
     begin = np.cumsum(bits) - bits
     at = (common.mix(grams) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(begin, size)
     flat = np.zeros(int(bits.sum()), np.uint8)
@@ -187,8 +187,9 @@ def region_join(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 1
     return [(i, j, o) for (i, j), o in out.items()]
 
 
-def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
-    """((doc_id, rid, node, size, bits) of every document, sorted hashes of frequent n-grams, how many n-grams there are).
+def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
+    """((doc_id, rid, node, size, bits) of every document, sorted hashes of frequent n-grams with their classes, how many
+    n-grams there are).
 
     A node is a set; of the rows of one node in a batch, the first has its bitmap.  An n-gram is counted in a task if
     several sets of a window of n-grams have it; the counts are then added up.
@@ -224,17 +225,25 @@ def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
 
     made = common.table(_source(docs).mapInArrow(count, schema), "jaccard-nodes")
     total = made.agg(F.sum("size")).first()[0] or 0
-    often_from = max(FREQUENT, total // FREQUENT_TOTAL)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = common.unpack_all(batches, [np.uint64, np.uint32])
         unique, index = np.unique(grams, return_inverse=True)
-        keep = np.bincount(index, times, len(unique)).astype(np.int64) > often_from
-        yield pa.RecordBatch.from_arrays([pa.array(unique[keep].view(np.int64))], ["gram"])
-
-    often = common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(add, "gram long")
-    top = often.toArrow()["gram"].to_numpy()
-    return made.where("node IS NOT NULL").drop("part", "blob"), np.sort(top.view(np.uint64)), total
+        times = np.bincount(index, times, len(unique))
+        keep = times > FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(unique[keep].view(np.int64)), pa.array(np.ceil(np.log2(times[keep] / FREQUENT)).astype(np.int8))], ["gram", "class"])
+
+    often = common.table(common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(add, "gram long, class byte"), "jaccard-often")
+    left, least = 0, 1
+    for row in often.groupBy("class").count().orderBy(F.desc("class")).collect():
+        left += row["count"]
+        if left > FREQUENT_TOTAL:
+            least = row["class"] + 1
+            break
+    top = often.where(F.col("class") >= least).orderBy("gram").toArrow()
+    grams, classes = top["gram"].to_numpy().view(np.uint64), top["class"].to_numpy()
+    order = np.argsort(grams)
+    return made.where("node IS NOT NULL").drop("part", "blob"), (grams[order], classes[order]), total
 
 
 def _only_packed(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
@@ -287,14 +296,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield whole()
 
 
-def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: float) -> DataFrame:
+def _candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, n: int, t: float) -> DataFrame:
     """(pivot, member) of the regions in which every pair with Jaccard >= t meets; a pivot is a member of its region."""
     spark = docs.sparkSession
     parts = common.parts_for(spark, 5 * total)
     often = spark.sparkContext.broadcast(frequent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_last = often.value
+        known, classes = often.value
         for batch in common.slices(batches, "text"):
             grams, off = gram_sets(batch.column(2), n)
             node, size = node_ids(grams, off), np.diff(off)
@@ -304,10 +313,10 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: fl
             doc = common.owner(off)
             keep = pick[doc]
             grams, doc = grams[keep], doc[keep]
-            if len(rare_last):
-                at = np.minimum(np.searchsorted(rare_last, grams), len(rare_last) - 1)
-                late = rare_last[at] == grams
-                order = np.lexsort((late, doc))  # stable: by text, then frequent, then hash
+            if len(known):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                late = np.where(known[at] == grams, classes[at], 0)
+                order = np.lexsort((late, doc))  # stable: by text, then class, then hash
                 grams, doc = grams[order], doc[order]
             need = least_common(size, t)
             most = size - np.ceil(size * t - 1e-9).astype(np.int64) + need
@@ -355,13 +364,8 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: fl
         grams, who = grams[keep], who[keep]
         cuts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         m = np.diff(np.r_[cuts, len(grams)])
-        schema = ["pivot", "member", "times", "need"]
-
-        def rows(pair: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x, y = pair // len(node), pair % len(node)
-            yield from common.to_batches(dict(zip(schema, [pa.array(node[x].view(np.int64)), pa.array(node[y].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.minimum(need[x], need[y]).astype(np.int32))], strict=True)))
 
-        # Pairs are counted in blocks of a fixed number; the counts of several blocks add up later.
+        # Pairs are counted in blocks of a fixed number; the counts of several blocks add up in the next step.
         low: list[np.ndarray] = []
         held = 0
         for k in np.unique(m[(m > 1) & (m <= PAIRWISE)]).tolist():
@@ -374,10 +378,10 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: fl
                 low.append(x[fits] * len(node) + y[fits])
                 held += len(low[-1])
                 if held > _PAIRS:
-                    yield from rows(*np.unique(np.concatenate(low), return_counts=True))
+                    yield _pack_pairs(node, need, *np.unique(np.concatenate(low), return_counts=True), parts)
                     low, held = [], 0
         if held:
-            yield from rows(*np.unique(np.concatenate(low), return_counts=True))
+            yield _pack_pairs(node, need, *np.unique(np.concatenate(low), return_counts=True), parts)
         star, held = [], 0
         for c, k in zip(cuts[m > PAIRWISE].tolist(), m[m > PAIRWISE].tolist(), strict=True):
             star.append(who[c] * len(node) + who[c : c + k])
@@ -387,19 +391,69 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, total: int, n: int, t: fl
                 held = len(star[0])
         if star:
             both = np.unique(np.concatenate(star))
-            yield from common.to_batches(dict(zip(schema, [pa.array(node[both // len(node)].view(np.int64)), pa.array(node[both % len(node)].view(np.int64)), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32())], strict=True)))
+            yield _pack_pairs(node, need, both, np.full(len(both), _STAR), parts)
 
-    met = common.exchange(_source(docs).mapInArrow(send, common.PACKED), parts).mapInArrow(meet, "pivot long, member long, times int, need int")
-    regions = met.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.min("need").alias("need"), F.max(F.col("times").isNull()).alias("full"))
-    met = common.table(regions.where("full OR times >= need").select("pivot", "member", "full"), "jaccard-met")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_unpack_pairs(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if not found:
+            return
+        x, y, times, need = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((y, x))
+        x, y, times, need = x[order], y[order], times[order], need[order]
+        head = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        times = np.add.reduceat(times, head)
+        full, need = times >= _STAR, np.minimum.reduceat(need, head)
+        keep = full | (times >= need)
+        yield from common.to_batches({"pivot": pa.array(x[head][keep].view(np.int64)), "member": pa.array(y[head][keep].view(np.int64)), "full": pa.array(full[keep])})
+
+    met = common.exchange(_source(docs).mapInArrow(send, common.PACKED), parts).mapInArrow(meet, common.PACKED)
+    met = common.table(common.exchange(met, parts).mapInArrow(add, "pivot long, member long, full boolean"), "jaccard-met")
     # Each node's pivot is its smallest candidate partner; both nodes of a pair go to the pivot of the first, so a
     # family of near copies is one region that has each set once, and not a region for each pair.
     pairs = met.where("NOT full").select(F.col("pivot").alias("x"), F.col("member").alias("y"))
-    placed = pairs.join(_homes(pairs), "x")
+    placed = pairs.join(common.checked(common.table(_homes(pairs), "jaccard-first-homes")), "x")
     regions = met.where("full").select("pivot", "member").unionByName(placed.select("pivot", F.col("x").alias("member"))).unionByName(placed.select("pivot", F.col("y").alias("member")))
     return common.table(regions.distinct(), "jaccard-regions")
 
 
+#: Stands for a count where a node is in a large neighbourhood of a pivot; more than n-grams that any two sets share.
+_STAR = 1 << 40
+
+
+def _pack_pairs(node: np.ndarray, need: np.ndarray, pair: np.ndarray, times: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Sorted pairs x * len(node) + y with their counts, packed by x.  A blob names each node once, and its columns are
+    compressed, as a pair is met in almost every task."""
+    import zstandard
+
+    press, rows = zstandard.ZstdCompressor(level=1), []
+    x, y = pair // len(node), pair % len(node)
+    target = (common.mix(node[x]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    target, x, y, times = target[order], x[order], y[order], times[order]
+    cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]][: len(target)])
+    for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(target)].tolist(), strict=True):
+        own, local = np.unique(np.r_[x[a:b], y[a:b]], return_inverse=True)
+        left, right = local[: b - a], local[b - a :]
+        # A pair has at least the smaller need of the two.
+        columns = [np.diff(left, prepend=0).astype(np.int32), right.astype(np.int32), np.minimum(times[a:b], (1 << 31) - 1).astype(np.int32)]
+        planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+        rows.append((int(target[a]), press.compress(np.array([b - a, len(own)], np.int64).tobytes() + node[own].tobytes() + need[own].astype(np.int32).tobytes() + planes)))
+    return common.packed_batch(rows)
+
+
+def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, times, need) of a blob of ``_pack_pairs``."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, k = np.frombuffer(raw, np.int64, 2).tolist()
+    node, need = np.frombuffer(raw, np.uint64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k)
+    planes = np.frombuffer(raw, np.uint8, 12 * n, 16 + 12 * k).reshape(3, 4, n)
+    left, right, times = (np.ascontiguousarray(c.T).view(np.int32).ravel().astype(np.int64) for c in planes)
+    left = np.cumsum(left)
+    return node[left], node[right], np.where(times == (1 << 31) - 1, _STAR, times), np.minimum(need[left], need[right])
+
+
 #: Texts of one batch (``common.slices``) have fewer nodes than this type holds.
 _LOCAL = np.uint16
 
@@ -409,7 +463,7 @@ def _homes(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
 
 
-def join_nodes(docs: DataFrame, members: DataFrame, frequent: np.ndarray, total: int, n: int, t: float) -> DataFrame:
+def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, n: int, t: float) -> DataFrame:
     """(a, b, overlap, jaccard) of all pairs of different nodes with Jaccard >= t, a < b, each once."""
     parts = common.partitions(docs.sparkSession)
     regions = _candidates(docs, frequent, total, n, t)
