@@ -22,7 +22,8 @@ from . import common, tokens
 WINDOW = 16
 MASK_BITS = 7
 LONGEST = 1024
-BUCKETS = 64
+#: A manifest row is for about so many documents.
+BUCKET_DOCUMENTS = 4096
 SCHEMA = "kind string, doc_id long, row_hash long, bucket int, digest binary, ids binary, recipe array<binary>, n_tokens long"
 
 
@@ -61,14 +62,16 @@ def cuts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     return at
 
 
-def build(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+def build(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, bucket_documents: int = BUCKET_DOCUMENTS) -> DataFrame:
     """The store as one table: rows of kind ``chunk`` (digest, ids), ``document`` (recipe; digest = Merkle root) and
     ``manifest`` (bucket; digest = Merkle root over its documents in order of id and row hash).
 
     Null and empty texts are documents with an empty recipe.  A null doc_id is kept and sorts first.  Repeated rows
-    give repeated document rows, and their chunks once.  Long texts are cut like any.  Further columns are ignored.
-    An empty table gives an empty store.
+    give repeated document rows, and their chunks once; documents alike in id and text are ordered by nothing else.
+    Long texts are cut like any.  Further columns of any name are ignored.  An empty table gives an empty store.
+    There is a power of two of buckets, so many that one holds about ``bucket_documents`` documents.
     """
+    buckets = 1 << max(0, docs.count() // bucket_documents).bit_length()
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = tokens.Encoder(vocabulary), set()
@@ -135,21 +138,35 @@ def build(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, buckets: int = B
 
 
 def reconstruct(store: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, ids, verified): each document's id bytes from its recipe, and whether the chunks' hashes and
-    the Merkle root hold.  A chunk that is missing or damaged makes ``verified`` false."""
-    recipes = store.where("kind = 'document'").select("doc_id", "row_hash", F.col("digest").alias("root"), "recipe", F.monotonically_increasing_id().alias("n"))
+    """(doc_id, row_hash, ids, verified): each document's id bytes from its recipe, and whether everything holds: the
+    hashes of its chunks, the Merkle root over them, and its bucket's manifest over all documents of the bucket.
+
+    A chunk that is missing or damaged makes ``verified`` false for the documents that use it; a document row that is
+    lost, added or exchanged, or a lost manifest, does so for its bucket.  Documents without tokens have empty ids.
+    Null ids are kept, repeated documents are each given, an empty store gives an empty result, and further columns
+    are ignored.
+    """
+    documents = store.where("kind = 'document'").select("doc_id", "row_hash", "bucket", F.col("digest").alias("root"), "recipe")
+    recipes = documents.withColumn("n", F.monotonically_increasing_id())
     steps = recipes.select("n", F.posexplode("recipe").alias("k", "digest"))
     chunks = store.where("kind = 'chunk'").select("digest", "ids")
     joined = steps.join(chunks, "digest", "left").withColumn("good", F.coalesce(F.unhex(F.sha2("ids", 256)) == F.col("digest"), F.lit(False)))
     parts = joined.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("good").alias("good"))
-    put = recipes.join(parts, "n", "left").select("doc_id", "row_hash", "root", "recipe", F.coalesce("good", F.lit(True)).alias("good"), F.coalesce(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""), F.lit("")).alias("hex"))
+    put = recipes.join(parts, "n", "left").select("doc_id", "row_hash", "bucket", "root", "recipe", F.coalesce("good", F.lit(True)).alias("good"), F.coalesce(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""), F.lit("")).alias("hex"))
+    order = F.sort_array(F.collect_list(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("i"), "row_hash", "root")))
+    held = documents.groupBy("bucket").agg(F.transform(order, lambda x: x["root"]).alias("recipe"))
+    manifests = held.join(store.where("kind = 'manifest'").select("bucket", F.col("digest").alias("root")), "bucket", "left")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [g and merkle(r) == x for g, r, x in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(good)], ["doc_id", "row_hash", "hex", "verified"])
-
-    return put.mapInArrow(roots, "doc_id long, row_hash long, hex string, verified boolean").select("doc_id", "row_hash", F.unhex("hex").alias("ids"), "verified")
+            good = [merkle(r) == x for r, x in zip(batch.column("recipe").to_pylist(), batch.column("root").to_pylist(), strict=True)]
+            own = [c for c in batch.schema.names if c not in ("recipe", "root")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(good, pa.bool_())], [*own, "holds"])
+
+    whole = manifests.mapInArrow(roots, "bucket int, holds boolean").withColumnRenamed("holds", "bucket_holds")
+    each = put.mapInArrow(roots, "doc_id long, row_hash long, bucket int, good boolean, hex string, holds boolean")
+    verified = F.col("good") & F.col("holds") & F.coalesce("bucket_holds", F.lit(False))
+    return each.join(whole, "bucket", "left").select("doc_id", "row_hash", F.unhex("hex").alias("ids"), verified.alias("verified"))
 
 
 def op4_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:

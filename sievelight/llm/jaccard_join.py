@@ -35,7 +35,7 @@ N = 3
 THRESHOLD = 0.5
 #: n-grams are ordered by classes: those of at most this many sets, of at most twice as many, and so on.  Any choice
 #: gives the same result.
-FREQUENT = 32
+FREQUENT = 8
 #: The classes of so many n-grams are sent to all tasks at most: the bound above doubles until they are no more.
 FREQUENT_TOTAL = 2_000_000
 #: A neighbourhood of more nodes than this is joined as a region instead of by pairs.  Any choice gives the same result.
@@ -71,8 +71,9 @@ def node_ids(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def least_common(size: np.ndarray, t: float) -> np.ndarray:
-    """l(x): a share of the ceil(t|x|) n-grams that any match of x has in common with it."""
-    return np.maximum(1, np.ceil(size * t - 1e-9).astype(np.int64) // 8)
+    """l(x): a share of the ceil(t|x|) n-grams that any match of x has in common with it.  A larger one makes prefixes
+    longer and candidates fewer; any choice gives the same result."""
+    return np.maximum(1, np.ceil(size * t - 1e-9).astype(np.int64) // 16)
 
 
 def bitmaps(grams: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -331,14 +332,15 @@ def _candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total:
             order = np.lexsort((short, part, doc))
             alike = order[1:][(doc[order][1:] == doc[order][:-1]) & (part[order][1:] == part[order][:-1]) & (short[order][1:] == short[order][:-1])]
             need = np.maximum(1, need - np.bincount(doc[alike], minlength=len(size)))
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((doc, part))
             part, short, doc = part[order], short[order], doc[order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
             for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(part)].tolist(), strict=True):
-                own, local = np.unique(doc[a:b], return_inverse=True)
+                first = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+                own = doc[a:b][first]
                 head = np.array([b - a, len(own)], np.int64).tobytes()
-                rows.append((int(part[a]), head + node[own].tobytes() + size[own].astype(np.int32).tobytes() + need[own].astype(np.int32).tobytes() + short[a:b].tobytes() + local.astype(_LOCAL).tobytes()))
+                rows.append((int(part[a]), head + node[own].tobytes() + _planes(size[own]) + _planes(need[own]) + _planes(np.diff(np.r_[first, b - a])) + short[a:b].tobytes()))
             yield common.packed_batch(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +349,11 @@ def _candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 m, k = np.frombuffer(blob, np.int64, 2).tolist()
                 ids.append(np.frombuffer(blob, np.uint64, k, 16))
-                sizes.append(np.frombuffer(blob, np.int32, k, 16 + 8 * k))
-                needs.append(np.frombuffer(blob, np.int32, k, 16 + 12 * k))
-                grams.append(np.frombuffer(blob, np.uint32, m, 16 + 16 * k).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
-                where.append(np.frombuffer(blob, _LOCAL, m, 16 + 16 * k + 4 * m).astype(np.int32) + np.int32(base))
+                size, need, times = (_from_planes(blob, k, 16 + 8 * k + 4 * k * c) for c in range(3))
+                sizes.append(size)
+                needs.append(need)
+                grams.append(np.frombuffer(blob, np.uint32, m, 16 + 20 * k).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
+                where.append(np.repeat(np.arange(base, base + k, dtype=np.int32), times))
                 base += k
         if not ids:
             return
@@ -416,8 +419,23 @@ def _candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total:
     return common.table(regions.distinct(), "jaccard-regions")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Small whole numbers as 32-bit ones, all lowest bytes first: the planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel().astype(np.int64)
+
+
+def _homes(pairs: DataFrame) -> DataFrame:
+    """(x, pivot): for every node of ``pairs`` (x, y) the smallest of its partners and itself."""
+    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
+
+
 #: Stands for a count where a node is in a large neighbourhood of a pivot; more than n-grams that any two sets share.
 _STAR = 1 << 40
+_MOST = (1 << 31) - 1
 
 
 def _pack_pairs(node: np.ndarray, need: np.ndarray, pair: np.ndarray, times: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -434,10 +452,8 @@ def _pack_pairs(node: np.ndarray, need: np.ndarray, pair: np.ndarray, times: np.
     for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(target)].tolist(), strict=True):
         own, local = np.unique(np.r_[x[a:b], y[a:b]], return_inverse=True)
         left, right = local[: b - a], local[b - a :]
-        # A pair has at least the smaller need of the two.
-        columns = [np.diff(left, prepend=0).astype(np.int32), right.astype(np.int32), np.minimum(times[a:b], (1 << 31) - 1).astype(np.int32)]
-        planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
-        rows.append((int(target[a]), press.compress(np.array([b - a, len(own)], np.int64).tobytes() + node[own].tobytes() + need[own].astype(np.int32).tobytes() + planes)))
+        columns = _planes(need[own]) + _planes(np.diff(left, prepend=0)) + _planes(right) + _planes(np.minimum(times[a:b], _MOST))
+        rows.append((int(target[a]), press.compress(np.array([b - a, len(own)], np.int64).tobytes() + node[own].tobytes() + columns)))
     return common.packed_batch(rows)
 
 
@@ -447,20 +463,10 @@ def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, k = np.frombuffer(raw, np.int64, 2).tolist()
-    node, need = np.frombuffer(raw, np.uint64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k)
-    planes = np.frombuffer(raw, np.uint8, 12 * n, 16 + 12 * k).reshape(3, 4, n)
-    left, right, times = (np.ascontiguousarray(c.T).view(np.int32).ravel().astype(np.int64) for c in planes)
+    node, need = np.frombuffer(raw, np.uint64, k, 16), _from_planes(raw, k, 16 + 8 * k)
+    left, right, times = (_from_planes(raw, n, 16 + 12 * k + 4 * n * c) for c in range(3))
     left = np.cumsum(left)
-    return node[left], node[right], np.where(times == (1 << 31) - 1, _STAR, times), np.minimum(need[left], need[right])
-
-
-#: Texts of one batch (``common.slices``) have fewer nodes than this type holds.
-_LOCAL = np.uint16
-
-
-def _homes(pairs: DataFrame) -> DataFrame:
-    """(x, pivot): for every node of ``pairs`` (x, y) the smallest of its partners and itself."""
-    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("pivot"))
+    return node[left], node[right], np.where(times == _MOST, _STAR, times), np.minimum(need[left], need[right])
 
 
 def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, n: int, t: float) -> DataFrame:

@@ -308,17 +308,17 @@ def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """``docs`` with the later of equal and near lines taken out of ``text``; adds ``lines_dropped``.
+def dedup(docs: DataFrame, tau: int = TAU, counted: str = "lines_dropped") -> DataFrame:
+    """``docs`` with the later of equal and near lines taken out of ``text``; adds their number as ``counted``.
 
     The first of each is kept, by doc_id (null first), then hash of the text, then line number.  Blank lines are
     never dropped.  A line is dropped if any near line is earlier, even if that one is dropped itself.  Lines of less
     than ``EVERY`` bytes may be no edit away, so they match equal ones only.  Null texts stay null; a text whose lines
     are all dropped becomes ''.  Lines and texts of any length are compared and rebuilt whole, in time proportional to
     their length.  Rows alike in id and text are one document, so they stay alike.  Other columns are kept (one named
-    ``lines_dropped`` is replaced), n_chars is not changed; an empty table gives an empty result.
+    like ``counted`` is replaced), n_chars is not changed; an empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c != "lines_dropped"]
+    own = [c for c in docs.columns if c != counted]
     gone = common.table(removals(docs, tau), "line-gone")
     row = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("r"))
     side = common.checked(gone.select(F.col("doc_id").alias("d2"), F.col("rid").alias("r2"), "dropped"))
@@ -328,7 +328,7 @@ def dedup(docs: DataFrame, tau: int = TAU) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     whole = cut.select("row", F.explode(F.array(text)).alias("new"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n"))
-    return whole.select(*[F.col("new").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in own], F.col("n").alias("lines_dropped"))
+    return whole.select(*[F.col("new").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in own], F.col("n").alias(counted))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ BLOCK = 8
 SHARD_BLOCKS = 1024
 TEMPERATURE = 0.5
 SEED = 20240607
+#: Nodes of the tree over so many shards or less are split by the tasks.
+SUBTREE = 256
 #: Buckets of the hash order of one source; ranks are counted per bucket and joined by a prefix sum.
 BUCKET_BITS = 12
 #: As a total: what ``fair_total`` says.
@@ -83,28 +87,57 @@ def water_fill(available: dict[str, int], weights: dict[str, float], total: int)
     return quota
 
 
+def split(low: int, high: int, left: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """The middle of a node over the shards [low, high) and the blocks of each source that its left half draws."""
+    mid, total = (low + high) // 2, int(left.sum())
+    first, rest = divmod(total, high - low)
+    take = first * (mid - low) + min(rest, mid - low)
+    rng = np.random.default_rng([seed, low, high])
+    return mid, rng.multivariate_hypergeometric(left, take, method="marginals") if total else left
+
+
+def leaves(low: int, high: int, left: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, blocks of each source) of every leaf below a node, in order."""
+    stack = [(low, high, np.asarray(left, np.int64))]
+    while stack:
+        low, high, left = stack.pop()
+        if high - low == 1:
+            yield low, left
+        elif high > low:
+            mid, drawn = split(low, high, left, seed)
+            stack += [(mid, high, left - drawn), (low, mid, drawn)]
+
+
 def splitting_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """shards x sources: how many blocks of each source each shard holds.
 
     Shard sizes differ by at most one block; column sums are ``quota`` exactly.
     """
-    out = np.zeros((shards, len(quota)), np.int64)
+    return np.array([blocks for _, blocks in leaves(0, shards, quota, seed)], np.int64).reshape(shards, len(quota))
 
-    def fill(low: int, high: int, left: np.ndarray) -> None:
-        if high - low == 1:
-            out[low] = left
-            return
-        mid, total = (low + high) // 2, int(left.sum())
-        first, rest = divmod(total, high - low)
-        take = first * (mid - low) + min(rest, mid - low)
-        rng = np.random.default_rng([seed, low, high])
-        drawn = rng.multivariate_hypergeometric(left, take, method="marginals") if total else left
-        fill(low, mid, drawn)
-        fill(mid, high, left - drawn)
 
-    if shards:
-        fill(0, shards, np.asarray(quota, np.int64))
-    return out
+def _tree(spark: SparkSession, quota: np.ndarray, shards: int, seed: int) -> DataFrame:
+    """(shard, source, blocks) of the tree, sources by number: the top is split here, the nodes of ``SUBTREE`` shards
+    or less by the tasks.  A node is seeded by itself, so it doesn't matter where it is split."""
+    nodes, small = [(0, shards, np.asarray(quota, np.int64))] if shards else [], []
+    while nodes:
+        low, high, left = nodes.pop()
+        if high - low <= SUBTREE:
+            small.append((low, high, left.tolist()))
+        else:
+            mid, drawn = split(low, high, left, seed)
+            nodes += [(low, mid, drawn), (mid, high, left - drawn)]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = list(leaves(r["low"], r["high"], np.array(r["left"], np.int64), seed))
+                shard, blocks = np.array([x for x, _ in found]), np.array([x for _, x in found])
+                at, source = np.nonzero(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array(source.astype(np.int32)), pa.array(blocks[at, source])], ["shard", "source", "blocks"])
+
+    top = spark.createDataFrame(small, "low long, high long, left array<long>")
+    return top.repartition(max(1, min(len(small), common.partitions(spark)))).mapInArrow(grow, "shard int, source int, blocks long")
 
 
 def _order(seed: int) -> Column:
@@ -119,7 +152,7 @@ def _source() -> Column:
 def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_blocks: int, temperature: float, seed: int, total: int | str | None = None) -> tuple[DataFrame, int]:
     """The table (source, bucket, low, high, shard) of hash ranges, and how many shards there are.
 
-    Only counts by source and bucket and the plan (sources x shards rows) pass through the driver.
+    Only counts by source and bucket and the top of the tree pass through the driver.
     """
     spark = docs.sparkSession
     narrow = docs.select(_source().alias("s"), _order(seed).alias("o"))
@@ -141,18 +174,27 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_bl
         quota = {s: -(-n // block) for s, n in most.items()}  # the last block of a source may be a partial one
     vector = np.array([quota.get(s, 0) for s in names], np.int64)
     shards = math.ceil(int(vector.sum()) / shard_blocks)
-    ends = np.cumsum(splitting_tree(vector, shards, seed), axis=0) * block
-    rows = []
-    for j, s in enumerate(names):
-        held = np.flatnonzero(np.diff(ends[:, j], prepend=0))
-        end = np.minimum(ends[held, j], most.get(s, 0))
-        at = np.searchsorted(upto[s], end)
-        within = end - (upto[s] - by_bucket[s])[at]
-        rows += zip([s] * len(held), at.tolist(), within.tolist(), held.tolist(), strict=True)
-    cuts = spark.createDataFrame(rows, "s string, b int, r int, shard int")
+    order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    ends = _tree(spark, vector, shards, seed).select("shard", "source", (F.sum("blocks").over(order) * block).alias("end"))
+    sent = spark.sparkContext.broadcast((names, [most.get(s, 0) for s in names], upto, by_bucket))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, most, upto, by_bucket = sent.value
+        for batch in batches:
+            shard, source, end = (batch.column(k).to_numpy() for k in range(3))
+            bucket, within = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+            for j in np.unique(source).tolist():
+                own = np.flatnonzero(source == j)
+                stop = np.minimum(end[own], most[j])
+                bucket[own] = at = np.searchsorted(upto[names[j]], stop)
+                within[own] = stop - (upto[names[j]] - by_bucket[names[j]])[at]
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in source.tolist()], pa.string()), pa.array(bucket.astype(np.int32)), pa.array(within), pa.array(shard)], ["s", "b", "r", "shard"])
+
+    cuts = common.table(ends.mapInArrow(locate, "s string, b int, r long, shard int"), "mix-cuts")
     # A range ends with the document of rank r in bucket b.
     rank = Window.partitionBy("s", "b").orderBy("o")
-    ranked = ordered.join(cuts.select("s", "b").distinct(), ["s", "b"], "left_semi").withColumn("r", F.row_number().over(rank))
+    cut_buckets = common.table(cuts.select("s", "b").distinct(), "mix-buckets")
+    ranked = ordered.join(common.checked(cut_buckets), ["s", "b"], "left_semi").withColumn("r", F.row_number().over(rank))
     short = cuts.join(ranked, ["s", "b", "r"]).select("s", "shard", F.col("o").alias("high"))
     low = F.coalesce(F.lag("high").over(Window.partitionBy("s").orderBy("shard")), F.lit(-1))
     span = F.sequence(F.shiftright(F.col("low") + 1, 63 - BUCKET_BITS), F.shiftright("high", 63 - BUCKET_BITS))

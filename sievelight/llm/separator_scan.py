@@ -28,7 +28,10 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULARY) -> None:
-    """Tokenise ``text`` into flat files of ``folder``, one a task; null text is a document of 0 tokens.
+    """Tokenise ``text`` into flat files of ``folder``, one a task; null and empty text is a document of 0 tokens.
+
+    Texts are written whole; repeated rows are written each; an empty table leaves files without ids; further columns
+    are ignored.
 
     A task writes under a name of its own attempt and renames at its end, so a repeated task leaves one file.
     """
@@ -78,9 +81,11 @@ def scan(spark: SparkSession, folder: str, width: int = 2, separator: int = toke
                 ends = np.flatnonzero(ids == separator) + row["at"] // width
                 yield pa.RecordBatch.from_pylist([{"file": row["file"], "at": row["at"], "n": len(ends), "last": int(ends[-1]) if len(ends) else None, "ends": ends, "total": row["size"] // width}], pa.schema([("file", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("ends", pa.list_(pa.int64())), ("total", pa.int64())]))
 
-    found = blocks.repartition(max(1, common.partitions(spark)), "file", "at").mapInArrow(search, "file string, at long, n long, last long, ends array<long>, total long")
+    # Every file is read once: the blocks' separators are written, and only their counts and last places are scanned.
+    found = common.table(blocks.repartition(max(1, common.partitions(spark)), "file", "at").mapInArrow(search, "file string, at long, n long, last long, ends array<long>, total long"), "separator-blocks")
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"))
+    heads = found.select("file", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"))
+    stitched = found.select("file", "at", "ends").join(common.checked(common.table(heads, "separator-heads")), ["file", "at"])
     inner = stitched.select("file", "base", "carry", "ends", F.posexplode("ends").alias("k", "end"))
     previous = F.when(F.col("k") == 0, F.col("carry")).otherwise(F.get("ends", F.col("k") - 1))
     closed = inner.select("file", (F.col("base") + F.col("k")).alias("doc_no"), (previous + 1).alias("start"), (F.col("end") - previous - 1).alias("n_tokens"))

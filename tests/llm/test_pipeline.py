@@ -31,9 +31,10 @@ def test_stages_against_brute_force(spark, small):
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {i for i in want if find(i) == i}
     mixed = corpus_pipeline.mix_sources(spark, kept, small).cache()
     counts = {r["source"]: r["count"] for r in kept.groupBy("source").count().collect()}
-    quota = mixing.target_blocks({s: n // mixing.BLOCK or 1 for s, n in counts.items()}, {s: n**mixing.TEMPERATURE for s, n in counts.items()})
+    weights = {s: n**mixing.TEMPERATURE for s, n in counts.items()}
+    quota = mixing.water_fill(counts, weights, mixing.fair_total(counts, weights))
     got = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
-    assert mixed.columns == columns and got == {s: min(counts[s], q * mixing.BLOCK) for s, q in quota.items() if q}
+    assert mixed.columns == columns and got == {s: q for s, q in quota.items() if q}
     coded = corpus_pipeline.encode_pieces(spark, mixed, small)
     back = {(r.doc_id, r.text) for r in nbest.decode(coded).collect()}
     assert back == {(r.doc_id, r.text) for r in mixed.collect()}
@@ -42,3 +43,24 @@ def test_stages_against_brute_force(spark, small):
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and all(r.decoded_ok for r in rows)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    plain = awkward.drop("row", "h", "c").withColumn("lines_dropped", F.lit(7))
+    want = {"quality_rules": {None, 5, 6, 7}, "line_dedup": {None, 1, 2, 3, 4, 5, 6, 7, 8}, "ngram_jaccard": {None, 1, 2, 3, 4, 5, 6, 7, 8}}
+    for table in (awkward, plain):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, "")
+            rows = got.collect()
+            if name in want:
+                assert want[name] <= {r.doc_id for r in rows} and (name == "quality_rules" or len(rows) == table.count())
+            if name != "sentencepiece":
+                assert got.columns == table.columns
+            assert stage(spark, table.limit(0), "").count() == 0
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0

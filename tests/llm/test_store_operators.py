@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.llm import ann, chunk_store, mixing, nbest, separator_scan, tokens
+from sievelight.llm import ann, chunk_store, common, mixing, nbest, separator_scan, tokens
 
 
 def texts(seed, n):
@@ -47,7 +47,7 @@ def test_store_round_trip(docs):
 
 
 def test_manifest_is_the_root_of_its_documents(docs):
-    store = chunk_store.build(docs(texts(2, 30)), buckets=4).collect()
+    store = chunk_store.build(docs(texts(2, 30)), bucket_documents=8).collect()
     of = {}
     for r in store:
         if r.kind == "document":
@@ -55,6 +55,39 @@ def test_manifest_is_the_root_of_its_documents(docs):
     assert {r.bucket: bytes(r.digest) for r in store if r.kind == "manifest"} == {b: chunk_store.merkle([x for *_, x in sorted(v)]) for b, v in of.items()}
 
 
+def test_a_lost_document_breaks_its_bucket(docs):
+    store = chunk_store.build(docs([*texts(2, 30), None]), bucket_documents=8).cache()
+    of = {r.doc_id: r.bucket for r in store.where("kind = 'document'").collect()}
+    assert set(of.values()) == {0, 1, 2, 3} and all(r.verified for r in chunk_store.reconstruct(store).collect())
+    less = store.where("NOT (kind = 'document' AND doc_id = 3)")
+    assert {r.doc_id for r in chunk_store.reconstruct(less).collect() if not r.verified} == {i for i, b in of.items() if b == of[3] and i != 3}
+    bare = store.where("NOT (kind = 'manifest' AND bucket = 1)")
+    assert {r.doc_id for r in chunk_store.reconstruct(bare).collect() if not r.verified} == {i for i, b in of.items() if b == 1}
+
+
+def brute_cuts(ids):
+    """Chunk ends of one document, from the definition."""
+    out, last = [], 0
+    for end in range(1, len(ids) + 1):
+        window = ids[max(0, end - chunk_store.WINDOW) : end].astype(np.uint64)
+        rolled = 0
+        for k, x in enumerate(window.tolist()):
+            rolled += int(common.mix(np.array([x + 1], np.uint64))[0]) * pow(0x9E3779B97F4A7C15, k, 1 << 64)
+        name = int(common.mix(np.array([(rolled + len(window)) % (1 << 64)], np.uint64))[0])
+        if end == len(ids) or end - last == chunk_store.LONGEST or (len(window) == chunk_store.WINDOW and name % (1 << chunk_store.MASK_BITS) == 0):
+            out.append(end)
+            last = end
+    return out
+
+
+def test_cuts_brute_force():
+    rng = np.random.default_rng(4)
+    texts_ = [rng.integers(0, 50_000, n).astype(np.uint16) for n in (0, 5, 900, 16, 400)] + [np.full(2500, 7, np.uint16)]
+    off = np.r_[0, np.cumsum([len(x) for x in texts_])]
+    want = [off[k] + e for k, x in enumerate(texts_) for e in brute_cuts(x)]
+    assert chunk_store.cuts(np.concatenate(texts_), off).tolist() == want
+
+
 def test_cuts_depend_on_content():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50_000, 6000).astype(np.uint16)
@@ -133,6 +166,24 @@ def test_splitting_tree_is_exact_and_hypergeometric():
     assert np.allclose(first.var(0), [25 * p * (1 - p) * 75 / 99 for p in (0.5, 0.3, 0.2)], rtol=0.12)
 
 
+def test_the_tree_is_the_same_wherever_it_is_split(spark, docs, monkeypatch):
+    rows = [(k, f"text {k}", f"s{k % 3}") for k in range(900)]
+    seen = []
+    for most in (256, 3, 1):
+        monkeypatch.setattr(mixing, "SUBTREE", most)
+        seen.append(sorted((r.doc_id, r.mix_shard, r.mix_position) for r in mixing.mix(docs(rows), {"s0": 1, "s1": 2, "s2": 3}, shard_blocks=4).collect()))
+    assert seen[0] == seen[1] == seen[2] and seen[0]
+    # Brute force: each source's documents in hash order, cut at the tree's block sums.
+    order = {s: [r.doc_id for r in docs(rows).withColumn("o", mixing._order(mixing.SEED)).where(F.col("source") == s).orderBy("o").collect()] for s in ("s0", "s1", "s2")}
+    quota = np.array([mixing.target_blocks({s: 37 for s in order}, {"s0": 1, "s1": 2, "s2": 3})[s] for s in sorted(order)])
+    tree = mixing.splitting_tree(quota, -(-int(quota.sum()) // 4), mixing.SEED)
+    want = set()
+    for j, s in enumerate(sorted(order)):
+        ends = np.r_[0, np.cumsum(tree[:, j])] * mixing.BLOCK
+        want |= {(i, shard) for shard in range(len(tree)) for i in order[s][ends[shard] : ends[shard + 1]]}
+    assert {(i, shard) for i, shard, _ in seen[0]} == want
+
+
 def test_mix_quotas(docs):
     rows = [(k, f"text {k}", f"s{min(k % 10, 3)}") for k in range(1000)]
     got = mixing.mix(docs(rows), {"s0": 1, "s1": 1, "s3": 2}, block=10, shard_blocks=12).collect()
