@@ -203,10 +203,15 @@ def mask(token: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Array of the first three numeric parts of a version, for ordering; a missing part is 0, no digit at all is null."""
+    """Array that orders versions: the first three numeric parts, whether it is a release (1) or comes before it (0), and
+    the number in the pre-release tag.  A missing part is 0; no digit at all is null; build metadata doesn't count."""
     core = F.regexp_extract(version, "^[vV=]?([0-9]+(?:\\.[0-9]+)*)", 1)
-    parts = F.transform(F.split(core, "\\."), lambda p: F.try_to_number(p, F.lit("9999999999")).cast("long"))
-    return F.when(core != "", F.slice(F.concat(parts, F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))), 1, 3))
+    tag = F.regexp_extract(version, "^[vV=]?[0-9]+(?:\\.[0-9]+)*-([0-9A-Za-z.-]+)", 1)
+    number = lambda p: F.try_to_number(p, F.lit("9999999999")).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    parts = F.slice(F.concat(F.transform(F.split(core, "\\."), number), F.array(zero, zero)), 1, 3)
+    rest = F.array(F.when(tag == "", one).otherwise(zero), F.coalesce(F.when(tag != "", number(F.regexp_extract(tag, "([0-9]+)[^0-9]*$", 1))), zero))
+    return F.when(core != "", F.concat(parts, rest))
 
 
 def is_prerelease(version: Column) -> Column:

@@ -23,20 +23,77 @@ SECRET_RULES = (
     ("google-api-key", "\\bAIza[0-9A-Za-z_-]{35}", "High"),
     ("npm-token", "\\bnpm_[0-9A-Za-z]{36}\\b", "High"),
     ("generic-token", "\\b(?:token|secret|password|api_key) *[=:] *\"?[0-9a-fA-F]{32,64}\"?", "High"),
+    ("aws-secret-key", "(?i)aws_?secret_?(?:access_?)?key *[=:] *[\"']?[0-9A-Za-z/+=]{40}", "Critical"),
+    ("aws-session-token", "(?i)aws_?session_?token *[=:] *[\"']?[0-9A-Za-z/+=]{100,}", "Critical"),
+    ("azure-storage-key", "AccountKey=[0-9A-Za-z/+]{86}==", "Critical"),
+    ("azure-client-secret", "\\b[0-9A-Za-z_~.]{3}8Q~[0-9A-Za-z_~.-]{34}", "Critical"),
+    ("azure-sas", "[?&]sig=[0-9A-Za-z%]{43,53}%3[dD]", "High"),
+    ("gcp-service-account", "\"type\" *: *\"service_account\"", "Critical"),
+    ("gcp-oauth-token", "\\bya29\\.[0-9A-Za-z_-]{20,}", "Critical"),
+    ("google-oauth-client", "\\b[0-9]{6,}-[0-9a-z]{32}\\.apps\\.googleusercontent\\.com", "Medium"),
+    ("google-oauth-secret", "\\bGOCSPX-[0-9A-Za-z_-]{28}", "High"),
+    ("oauth-bearer", "(?i)\\bauthorization *: *bearer +[0-9A-Za-z._~+/-]{16,}", "High"),
+    ("basic-auth", "(?i)\\bauthorization *: *basic +[0-9A-Za-z+/]{8,}={0,2}", "High"),
+    ("twilio-key", "\\bSK[0-9a-f]{32}\\b", "Critical"),
+    ("twilio-account", "\\bAC[0-9a-f]{32}\\b", "Medium"),
+    ("sendgrid-key", "\\bSG\\.[0-9A-Za-z_-]{22}\\.[0-9A-Za-z_-]{43}", "Critical"),
+    ("mailgun-key", "\\bkey-[0-9a-f]{32}\\b", "High"),
+    ("mailchimp-key", "\\b[0-9a-f]{32}-us[0-9]{1,2}\\b", "High"),
+    ("slack-webhook", "https://hooks\\.slack\\.com/services/T[0-9A-Z]{6,}/B[0-9A-Z]{6,}/[0-9A-Za-z]{20,}", "High"),
+    ("discord-webhook", "https://discord(?:app)?\\.com/api/webhooks/[0-9]{16,}/[0-9A-Za-z_-]{60,}", "High"),
+    ("telegram-token", "\\b[0-9]{8,10}:AA[0-9A-Za-z_-]{33}", "High"),
+    ("github-fine-token", "\\bgithub_pat_[0-9A-Za-z_]{60,}", "Critical"),
+    ("gitlab-runner-token", "\\bGR1348941[0-9A-Za-z_-]{20}", "High"),
+    ("bitbucket-token", "\\bATBB[0-9A-Za-z]{28,}", "High"),
+    ("pypi-token", "\\bpypi-AgE[0-9A-Za-z_-]{50,}", "Critical"),
+    ("rubygems-key", "\\brubygems_[0-9a-f]{48}\\b", "High"),
+    ("docker-token", "\\bdckr_pat_[0-9A-Za-z_-]{27,}", "High"),
+    ("digitalocean-token", "\\bdo[op]_v1_[0-9a-f]{64}\\b", "Critical"),
+    ("heroku-key", "(?i)heroku[0-9a-z_ .-]{0,20}[=:] *[\"']?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "High"),
+    ("shopify-token", "\\bshp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}\\b", "Critical"),
+    ("square-token", "\\bsq0(?:atp|csp)-[0-9A-Za-z_-]{22,}", "Critical"),
+    ("stripe-webhook", "\\bwhsec_[0-9A-Za-z]{32,}", "High"),
+    ("pgp-private-key", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "Critical"),
+    ("encrypted-private-key", "-----BEGIN ENCRYPTED PRIVATE KEY-----", "High"),
+    ("jdbc-password", "(?i)jdbc:[a-z]+://[^\\s\"']+[?&;]password=[^\\s&;\"']+", "High"),
+    ("generic-password", "(?i)\\b(?:passwd|pwd) *[=:] *[\"'][^\"'\\s]{8,64}[\"']", "Medium"),
     ("email", "[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+\\.[A-Za-z]{2,}", "Info"),
     ("ipv4", "\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b", "Info"),
 )
+#: Literals of which a text must hold one, in lower case, to have any match of the rule.  A search for a literal is a
+#: small part of the price of a regular expression, and most texts hold none.
+HINTS = {
+    "aws-access-key": ("akia", "asia"), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "gitlab-token": ("glpat-",), "slack-token": ("xox",), "jwt": ("eyj",), "private-key": ("private key-----",), "database-url": ("://",), "stripe-key": ("k_live_", "k_test_"), "google-api-key": ("aiza",), "npm-token": ("npm_",), "generic-token": ("token", "secret", "password", "api_key"),
+    "aws-secret-key": ("aws",), "aws-session-token": ("aws",), "azure-storage-key": ("accountkey=",), "azure-client-secret": ("8q~",), "azure-sas": ("sig=",), "gcp-service-account": ("service_account",), "gcp-oauth-token": ("ya29.",), "google-oauth-client": ("googleusercontent",), "google-oauth-secret": ("gocspx-",), "oauth-bearer": ("bearer",), "basic-auth": ("authorization",), "sendgrid-key": ("sg.",), "mailgun-key": ("key-",), "mailchimp-key": ("-us",), "slack-webhook": ("hooks.slack",), "discord-webhook": ("/api/webhooks/",), "telegram-token": (":aa",), "github-fine-token": ("github_pat_",), "gitlab-runner-token": ("gr1348941",), "bitbucket-token": ("atbb",), "pypi-token": ("pypi-age",), "rubygems-key": ("rubygems_",), "docker-token": ("dckr_pat_",), "digitalocean-token": ("_v1_",), "heroku-key": ("heroku",), "shopify-token": ("shp",), "square-token": ("sq0",), "stripe-webhook": ("whsec_",), "pgp-private-key": ("pgp private",), "encrypted-private-key": ("encrypted private",), "jdbc-password": ("jdbc:",), "generic-password": ("passwd", "pwd"), "email": ("@",), "ipv4": (".",), "twilio-key": ("sk",), "twilio-account": ("ac",),
+}
+#: Rules whose provider could be asked whether the secret is live; no network is used, so such a match is Unverified.
+VERIFIABLE = ("aws-access-key", "github-token", "github-fine-token", "gitlab-token", "slack-token", "stripe-key", "google-api-key", "npm-token", "sendgrid-key", "twilio-key", "digitalocean-token", "shopify-token", "pypi-token")
 PLACEHOLDERS = "(?i)(example|placeholder|changeme|dummy|your[_-])"
 TEST_PATHS = "(^|/)(tests?|__tests__|fixtures|testdata)/|(_test|\\.test|\\.spec)\\.[a-z]+$"
 
 
 def det_regex(texts: DataFrame, key: str, text: str, rules: tuple[tuple[str, str, str], ...] = SECRET_RULES) -> DataFrame:
-    """(key, rule_id, severity, match): every match of every rule; one scan of the text a rule, no join."""
-    def found(rule: str, pattern: str, severity: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), m.alias("match")))
+    """(key, rule_id, severity, match): every match of every rule; a rule with hints looks only at texts that hold one."""
+    none = F.lit(None).cast("array<struct<rule_id:string,severity:string,match:string>>")
 
-    hits = F.flatten(F.array(*[found(*r) for r in rules]))
-    return texts.select(key, F.explode(hits).alias("h")).select(key, "h.*")
+    def found(rule: str, pattern: str, severity: str) -> Column:
+        hits = F.transform(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), m.alias("match")))
+        if rule not in HINTS:
+            return hits
+        seen = F.lit(False)
+        for hint in HINTS[rule]:
+            seen = seen | F.contains("__low", F.lit(hint))
+        return F.when(seen, hits).otherwise(none)
+
+    # An array of one element, so that lower case is made once and not for each rule.
+    both = texts.select(F.col(key), F.explode(F.array(F.struct(F.col(text).alias("t"), F.lower(text).alias("l")))).alias("b")).select(key, F.col("b.t").alias("__text"), F.col("b.l").alias("__low"))
+    hits = F.flatten(F.array_compact(F.array(*[found(*r) for r in rules])))
+    return both.select(key, F.explode(hits).alias("h")).select(key, "h.*")
+
+
+def det_verify(hits: DataFrame) -> DataFrame:
+    """``hits`` (rule_id, ...) with verification_state: Unverified where a provider could be asked, else NotSupported."""
+    return hits.withColumn("verification_state", F.when(F.col("rule_id").isin(*VERIFIABLE), "Unverified").otherwise("NotSupported"))
 
 
 def det_entropy(texts: DataFrame, key: str, text: str, hex_least: float = 3.0, base64_least: float = 4.5) -> DataFrame:

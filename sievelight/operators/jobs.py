@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,39 +79,50 @@ def read_through(l1: DataFrame, l2: DataFrame, key: str, value: str) -> DataFram
     return a.join(b, key, "full").select(key, F.coalesce("v1", "v2").alias(value), F.when(F.col("v1").isNotNull(), 1).otherwise(2).alias("tier"))
 
 
+def list_objects(objects: DataFrame, prefix: str = "") -> DataFrame:
+    """The objects (key, ...) of a listing below ``prefix``; keys that end in "/" are folders and skipped."""
+    return objects.where(F.col("key").startswith(prefix) & ~F.col("key").endswith("/"))
+
+
 def win_cap(objects: DataFrame, group: str, max_objects: int, max_bytes: int) -> DataFrame:
     """The objects that a capped listing takes of each group, in key order.
 
     Listing stops once a cap is reached; an object that would overflow is skipped, and later smaller ones may fit.
-    The fold is sequential within a group; groups run in parallel.
+    One pass over a group's sizes, which are held by one task; groups run in parallel.
     """
-    items = F.sort_array(F.collect_list(F.struct("key", "size")))
-    zero = F.struct(F.array().cast("array<struct<key:string,size:bigint>>").alias("kept"), F.lit(0).cast("bigint").alias("bytes"))
+    kind = f"{group} {dict(objects.dtypes)[group]}, key string, size long"
 
-    def step(acc: Column, x: Column) -> Column:
-        takes = (F.size(acc["kept"]) < max_objects) & (acc["bytes"] + x["size"] <= max_bytes)
-        return F.struct(F.when(takes, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"), F.when(takes, acc["bytes"] + x["size"]).otherwise(acc["bytes"]).alias("bytes"))
+    def take(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("size", "ascending")])
+        kept, held = [], 0
+        for k, size in enumerate(rows["size"].to_pylist()):
+            if len(kept) == max_objects:
+                break
+            if held + size <= max_bytes:
+                kept.append(k)
+                held += size
+        return rows.take(pa.array(kept, pa.int64()))
 
-    folded = objects.select(group, "key", F.col("size").cast("bigint").alias("size")).groupBy(group).agg(F.aggregate(items, zero, step).alias("a"))
-    return folded.select(group, F.explode("a.kept").alias("o")).select(group, "o.key", "o.size")
+    return objects.select(group, "key", F.col("size").cast("long").alias("size")).where("size IS NOT NULL").groupBy(group).applyInArrow(take, kind)
 
 
 def shard_lpt(files: DataFrame, group: str, max_shards: int) -> DataFrame:
     """Balanced shards of each group: by size descending and path by component, each file to the lightest shard.
 
-    Ties go to the lowest shard.  Sequential within a group, parallel over groups; no shards, no rows.
+    Ties go to the lowest shard.  A heap over the shards' loads, in one task a group; no shards, no rows.
     """
-    out = "shard int, path string, size long"
+    out = f"{group} {dict(files.dtypes)[group]}, shard int, path string, size long"
     if max_shards <= 0:
-        return files.sparkSession.createDataFrame([], f"{group} {dict(files.dtypes)[group]}, {out}")
-    items = F.sort_array(F.collect_list(F.struct((-F.col("size").cast("long")).alias("neg"), F.split("path", "/").alias("parts"), "path")))
-    n = F.least(F.size("items"), F.lit(max_shards))
-    zero = F.struct(F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(0).cast("long")).alias("load"), F.array().cast("array<int>").alias("to"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        load = F.transform(acc["load"], lambda v, i: v + F.when(i == at, -x["neg"]).otherwise(F.lit(0).cast("long")))
-        return F.struct(load.alias("load"), F.concat(acc["to"], F.array(at)).alias("to"))
-
-    folded = files.groupBy(group).agg(items.alias("items")).withColumn("a", F.aggregate("items", zero, step))
-    return folded.select(group, F.explode(F.arrays_zip("items", F.col("a.to").alias("to"))).alias("z")).select(group, F.col("z.to").alias("shard"), F.col("z.items.path").alias("path"), (-F.col("z.items.neg")).alias("size"))
+        return files.sparkSession.createDataFrame([], out)
+
+    def place(rows: pa.Table) -> pa.Table:
+        size, path = rows["size"].to_pylist(), rows["path"].to_pylist()
+        loads = [(0, k) for k in range(min(len(size), max_shards))]
+        to = [0] * len(size)
+        for k in sorted(range(len(size)), key=lambda k: (-size[k], path[k].split("/"))):
+            load, shard = heapq.heappop(loads)
+            to[k] = shard
+            heapq.heappush(loads, (load + size[k], shard))
+        return pa.table([rows[group], pa.array(to, pa.int32()), rows["path"], rows["size"]], names=[group, "shard", "path", "size"])
+
+    return files.select(group, "path", F.col("size").cast("long").alias("size")).groupBy(group).applyInArrow(place, out)

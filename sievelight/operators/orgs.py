@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 MAX_DEPTH = 10
 
 
@@ -14,22 +14,17 @@ def hier_limits(orgs: DataFrame, limits: DataFrame, max_depth: int = MAX_DEPTH)
     """(id, organization_id, tier, max_scans_monthly, max_api_calls_monthly): effective limits of each organization.
 
     Walks up the parents while inherit_limits holds and fewer than ``max_depth`` steps were made.  A missing limits
-    row anywhere on the way gives nulls; without a parent the own limits hold.  A bounded chain of equi-joins, which
-    drop the rows that are done, so cycles end too.
+    row anywhere on the way gives nulls; without a parent the own limits hold.  Each step is one equi-join that moves
+    every organization to its parent or leaves it where it is, so the plan has ``max_depth`` joins, and cycles end too.
     """
     fields = ["tier", "max_scans_monthly", "max_api_calls_monthly"]
-    lim = limits.select(F.col("organization_id").alias("at"), F.struct("organization_id", *fields).alias("own"), "inherit_limits")
     up = orgs.select(F.col("id").alias("at"), F.col("parent_id").alias("up"))
-    step = lim.join(up, "at", "left")
+    move = limits.where("inherit_limits").select(F.col("organization_id").alias("at")).join(up.where("up IS NOT NULL"), "at")
     now = orgs.select("id", F.col("id").alias("at"))
-    found = []
-    for depth in range(max_depth + 1):
-        here = now.join(step, "at", "left")
-        stop = ~F.col("inherit_limits") | F.col("up").isNull() | F.lit(depth == max_depth)
-        found.append(here.where(F.col("own").isNotNull() & stop).select("id", "own"))
-        now = here.where(F.col("own").isNotNull() & ~stop).select("id", F.col("up").alias("at"))
-    done = reduce(DataFrame.unionByName, found)
-    return orgs.select("id").join(done, "id", "left").select("id", F.col("own.organization_id").alias("organization_id"), *[F.col(f"own.{f}").alias(f) for f in fields])
+    for _ in range(max_depth):
+        now = now.join(move, "at", "left").select("id", F.coalesce("up", "at").alias("at"))
+    own = limits.select(F.col("organization_id").alias("at"), "organization_id", *fields)
+    return now.join(own, "at", "left").select("id", "organization_id", *fields)
 
 
 def view_effective(orgs: DataFrame, limits: DataFrame) -> DataFrame:
@@ -85,27 +80,57 @@ def agg_kpi(items: DataFrame) -> DataFrame:
     return items.agg(rate(done).alias("remediation_rate"), F.round(F.avg(F.when(done, F.datediff("resolved_at", "found_at"))), 6).alias("mttr_days"), rate(F.col("status") == "False Positive").alias("false_positive_rate"), F.count_if(F.col("status").isin("Open", "In Progress")).alias("open_items"))
 
 
-def closure(edges: DataFrame, max_depth: int) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int, start: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): all nodes reachable in at most ``max_depth`` steps, with the least depth; cycles are cut.
 
-    Each round joins the frontier alone and keeps only what is new.
+    With ``start`` (src) only paths from those nodes are followed.  Each round joins the frontier alone and keeps only
+    what is new; frontiers are checkpointed in the shared folder, so that no round repeats those before it.
     """
-    e = edges.select("src", "dst").distinct()
-    seen = frontier = e.withColumn("depth", F.lit(1))
+    e = cut(edges.select("src", "dst").distinct())
+    first = e if start is None else e.join(start.select("src").distinct(), "src", "left_semi")
+    seen = frontier = first.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
         hop = frontier.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        frontier = hop.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(hop.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def topo_levels(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(node, level): length of the longest path into each node, for graphs no deeper than ``max_depth``."""
-    e = edges.select("src", "dst").distinct()
+    """(node, level): length of the longest path into each node, for graphs no deeper than ``max_depth``.
+
+    Each round's ends of paths are checkpointed in the shared folder.
+    """
+    e = cut(edges.select("src", "dst").distinct())
     level = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("level", F.lit(0))
     paths = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("dst").alias("node"), F.lit(1).alias("level"))
     out = level.unionByName(paths)
     for depth in range(2, max_depth + 1):
-        paths = paths.join(e, paths["node"] == e["src"]).select(F.col("dst").alias("node"), F.lit(depth).alias("level")).distinct()
+        paths = cut(paths.join(e, paths["node"] == e["src"]).select(F.col("dst").alias("node"), F.lit(depth).alias("level")).distinct())
         out = out.unionByName(paths)
     return out.groupBy("node").agg(F.max("level").alias("level"))
+
+
+DEPTHS = ("quick", "standard", "deep")
+
+
+def taint(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, depth: str = "standard", max_steps: int = 10) -> DataFrame:
+    """(src, dst, steps): sources whose data reaches a sink along ``edges`` (src, dst, within).
+
+    ``sources``, ``sinks`` and ``sanitizers`` have one column, node.  A sanitizer ends every path that enters it or
+    begins at it, unless it is null.  Levels: ``quick`` follows no data, only a source that is itself a sink is found
+    (0 steps); ``standard`` adds edges within one function (``within`` true); ``deep`` adds those between functions.
+    The fewest steps are given; longer paths than ``max_steps`` are not followed.
+    """
+    if depth not in DEPTHS:
+        raise ValueError(f"{depth} is none of {DEPTHS}")
+    clean = sanitizers.where("node IS NOT NULL").distinct()
+    start = sources.distinct().join(clean, "node", "left_anti").select(F.col("node").alias("src"))
+    ends = sinks.distinct().select(F.col("node").alias("dst"))
+    at_once = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("steps")).join(ends, "dst", "left_semi").select("src", "dst", "steps")
+    if depth == "quick":
+        return at_once
+    live = edges if depth == "deep" else edges.where("within")
+    live = live.join(clean.select(F.col("node").alias("src")), "src", "left_anti").join(clean.select(F.col("node").alias("dst")), "dst", "left_anti")
+    reach = closure(live, max_steps, start).withColumnRenamed("depth", "steps").where("src <> dst")
+    return at_once.unionByName(reach.join(ends, "dst", "left_semi").select("src", "dst", "steps"))

@@ -1,8 +1,5 @@
 """Queries over projects, jobs, organizations, events, texts and streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..operators import orgs as O
 from ..operators import planning as P
 from ..operators import sinks as S
 from ..sources import files as SF
+from ..sources.shared import folder
 from ..sources.stand_in import organizations, subscription_limits, table, transitions
 from ..streaming import jobs as ST
 from .base import query
@@ -207,14 +205,8 @@ def det_dyn_depth(spark, d):
 # --- files, shards, caches -----------------------------------------------------------------------------------------
 
 
-def _folder(spark, prefix):
-    """A new folder in the shared one that spark.checkpoint.dir names; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{prefix}{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=prefix)
-
-
 def _tree(spark):
-    root = _folder(spark, "tree-")
+    root = folder(spark, "tree-")
     disk, base = SF.open_root(root)
     for path, n in (("a.py", 3), ("src/b.rs", 5), (".hidden", 7), ("node_modules/c.js", 11), ("d1/d2/d3/d4/e.go", 13), ("d1/d2/d3/d4/d5/f.go", 17), ("dist/g.js", 19)):
         disk.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
@@ -250,11 +242,6 @@ def win_cap(spark, d):
     return J.win_cap(o, "bucket", 20, 400)
 
 
-@query("scan_s3", _CAP)
-def scan_s3(spark, d):
-    return win_cap(spark, d)
-
-
 @query("shard_lpt")
 def shard_lpt(spark, d):
     f = table(spark, d, "part").select("p_brand", F.concat(F.lit("a/b"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
@@ -327,7 +314,7 @@ def sink_webhook(spark, d):
 
 @query("export_csv_json", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def export_csv_json(spark, d):
-    out = _folder(spark, "export-")
+    out = folder(spark, "export-")
     kind = "o_orderstatus string, n long"
     table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(f"{out}/csv")
     csv = spark.read.schema(kind).option("header", True).csv(f"{out}/csv")
@@ -471,7 +458,8 @@ def dep_graph(spark, d):
 
 @query("taint_path", _EDGES + ", r AS (SELECT src, dst, 1 AS depth FROM e WHERE src < 100 UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 3) SELECT DISTINCT src, dst FROM r WHERE dst >= 1500")
 def taint_path(spark, d):
-    return O.closure(_edges(spark, d), 3).where("src < 100 AND dst >= 1500").select("src", "dst")
+    e = _edges(spark, d)
+    return O.closure(e, 3, e.where("src < 100").select("src")).where("dst >= 1500").select("src", "dst")
 
 
 @query("topo_sort", _EDGES + ", p AS (SELECT src AS node, 0 AS level FROM e UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.node WHERE p.level < 4) SELECT node, CAST(max(level) AS INTEGER) AS level FROM p GROUP BY node")
@@ -482,7 +470,7 @@ def topo_sort(spark, d):
 # --- texts ---------------------------------------------------------------------------------------------------------
 
 
-@query("det_regex", "SELECT doc_id, rule_id, severity, m AS match FROM (" + " UNION ALL ".join("SELECT doc_id, '{0}' AS rule_id, '{2}' AS severity, unnest(regexp_extract_all(text, '{1}')) AS m FROM documents".format(r, p, s) for r, p, s in D.SECRET_RULES) + ")")
+@query("det_regex", "SELECT doc_id, rule_id, severity, m AS match FROM (" + " UNION ALL ".join("SELECT doc_id, '{0}' AS rule_id, '{2}' AS severity, unnest(regexp_extract_all(text, '{1}')) AS m FROM documents".format(r, p.replace("'", "''"), s) for r, p, s in D.SECRET_RULES) + ")")
 def det_regex(spark, d):
     return D.det_regex(table(spark, d, "documents"), "doc_id", "text")
 
@@ -541,10 +529,10 @@ def token_bucket(spark, d):
 
 def _stream(spark, d, name):
     """The table as a stream of one file, in a folder of its own."""
-    folder = _folder(spark, "stream-")
+    root = folder(spark, "stream-")
     src = table(spark, d, name)
-    src.write.mode("overwrite").parquet(f"{folder}/in")
-    return folder, ST.queue(spark, f"{folder}/in", src.schema)
+    src.write.mode("overwrite").parquet(f"{root}/in")
+    return root, ST.queue(spark, f"{root}/in", src.schema)
 
 
 def _drained(spark, stream, folder, mode="append"):

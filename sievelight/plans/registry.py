@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the core operators, keyed by operator id."""
 
-from . import findings, platform  # noqa: F401
+from . import analysis, findings, platform  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

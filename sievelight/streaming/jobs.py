@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -57,7 +58,7 @@ def lifecycle(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
 COSTS = {"view": 1, "click": 1, "signup": 2, "purchase": 3, "error": 6}
 
 
-def cost(column: str = "event_type") -> F.Column:
+def cost(column: str = "event_type") -> Column:
     out = F.lit(1)
     for name, c in COSTS.items():
         out = F.when(F.col(column) == name, c).otherwise(out)
@@ -73,18 +74,55 @@ def rate_limit(events: DataFrame, limit: int, width: str = "1 hour", slide: str
 
 
 def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
-    """Exact token bucket: an ordered fold by user; ``allowed`` says whether the bucket held the event's cost."""
-    items = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", cost().cast("double").alias("cost"))))
-    zero = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
+    """(user_id, event_id, allowed): exact token bucket, one pass over a user's events in order of time and id;
+    ``allowed`` says whether the bucket held the event's cost."""
+    kind = f"user_id {dict(events.dtypes)['user_id']}, event_id long, allowed boolean"
 
-    def step(a, e):
-        full = F.least(F.lit(float(capacity)), a["tokens"] + F.coalesce((e["us"] - a["at"]) / 1e6, F.lit(0.0)) * per_second)
-        good = full >= e["cost"]
-        return F.struct(F.when(good, full - e["cost"]).otherwise(full).alias("tokens"), e["us"].alias("at"), F.concat(a["out"], F.array(F.struct(e["event_id"].alias("event_id"), good.alias("allowed")))).alias("out"))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("us", "ascending"), ("event_id", "ascending")])
+        tokens, last, out = float(capacity), None, []
+        for us, price in zip(rows["us"].to_pylist(), rows["cost"].to_pylist(), strict=True):
+            tokens = min(float(capacity), tokens + ((us - last) / 1e6 if last is not None else 0.0) * per_second)
+            out.append(tokens >= price)
+            tokens -= price if out[-1] else 0.0
+            last = us
+        return pa.table([rows["user_id"], rows["event_id"], pa.array(out, pa.bool_())], names=["user_id", "event_id", "allowed"])
 
-    return events.groupBy("user_id").agg(F.aggregate(items, zero, step).alias("a")).select("user_id", F.explode("a.out").alias("o")).select("user_id", "o.*")
+    timed = events.select("user_id", F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), cost().cast("double").alias("cost"))
+    return timed.groupBy("user_id").applyInArrow(run, kind)
 
 
-def retain(events: DataFrame, now: F.Column, days: int = 180) -> DataFrame:
+#: (requests a minute, requests an hour, burst) by kind of caller.
+TIERS = {"api_key": (100, 2000, 20), "authenticated": (60, 1000, 10), "anonymous": (10, 100, 5)}
+ORG_BONUS_PERCENT = 20
+
+
+def tier_limits(callers: DataFrame) -> DataFrame:
+    """``callers`` (caller, is_member, ...) with per_minute, per_hour and burst; members of an organization get
+    ``ORG_BONUS_PERCENT`` more, rounded down.  An unknown caller counts as anonymous."""
+    def of(k: int) -> Column:
+        base = F.lit(TIERS["anonymous"][k])
+        for name, limits in TIERS.items():
+            base = F.when(F.col("caller") == name, limits[k]).otherwise(base)
+        return F.when(F.coalesce("is_member", F.lit(False)), F.floor(base * (100 + ORG_BONUS_PERCENT) / 100)).otherwise(base).cast("int")
+
+    return callers.withColumns({"per_minute": of(0), "per_hour": of(1), "burst": of(2)})
+
+
+def lockout(attempts: DataFrame, key: str, per_minute: int = 5, per_hour: int = 20, minutes: int = 15) -> DataFrame:
+    """``attempts`` (key, ts, ...) with over and locked: sliding windows over the key's own attempts.
+
+    ``over``: this attempt and those of the 60 seconds (3,600) before it are more than ``per_minute`` (``per_hour``).
+    ``locked``: an attempt in the ``minutes`` before this one was over.
+    """
+    w = Window.partitionBy(key).orderBy("sec")
+    timed = attempts.withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    within = lambda s: F.count("*").over(w.rangeBetween(-s + 1, 0))
+    judged = timed.withColumn("over", (within(60) > per_minute) | (within(3600) > per_hour))
+    locked = F.coalesce(F.max("over").over(w.rangeBetween(-60 * minutes, -1)), F.lit(False))
+    return judged.withColumn("locked", locked).drop("sec")
+
+
+def retain(events: DataFrame, now: Column, days: int = 180) -> DataFrame:
     """Events of the last ``days`` days; on a table partitioned by date this prunes partitions."""
     return events.where(F.col("ts") >= F.date_sub(now, days))
