@@ -10,7 +10,7 @@ _PARAMETER = "struct<name:string,`in`:string,schema:struct<type:string,maxLength
 _RESPONSE = "struct<headers:map<string,struct<example:string,schema:struct<example:string>>>>"
 _OPERATION = f"struct<security:{_SECURITY},parameters:array<{_PARAMETER}>,requestBody:struct<content:map<string,struct<schema:struct<type:string,`$ref`:string>>>>,responses:map<string,{_RESPONSE}>>"
 _FLOW = "struct<authorizationUrl:string,tokenUrl:string>"
-SPEC = f"openapi string, info struct<version:string>, servers array<struct<url:string>>, security {_SECURITY}, components struct<securitySchemes:map<string,struct<type:string,scheme:string,`in`:string,flows:map<string,{_FLOW}>>>>, paths map<string,map<string,{_OPERATION}>>"
+SPEC = f"openapi string, info struct<version:string>, servers array<struct<url:string>>, security {_SECURITY}, components struct<securitySchemes:map<string,struct<type:string,scheme:string,`in`:string,flows:map<string,{_FLOW}>>>>, paths map<string,string>"
 
 #: rule -> (analyzer, severity).  The nine analyzers are documented by name; which rules they have is our definition.
 RULES = {
@@ -86,9 +86,11 @@ def det_api(specs: DataFrame, key: str, spec: str, enabled: tuple[str, ...] = ()
 
     oauth = F.map_keys(F.map_filter("s.components.securitySchemes", lambda _, x: x["type"].isin("oauth2", "openIdConnect")))
     paths = doc.select(key, F.col("s.security").alias("top"), F.coalesce(oauth, F.array().cast("array<string>")).alias("oauth"), F.explode("s.paths").alias("path", "item"))
+    # A path's item also holds members that are no operations, of other types, so each operation is parsed by itself.
     for p in exclude:
         paths = paths.where(~((F.col("path") == p) | F.col("path").startswith(p.rstrip("/") + "/")))
-    operations = paths.select(key, "path", "top", "oauth", F.explode("item").alias("method", "op")).where(F.col("method").isin(*METHODS))
+    members = paths.select(key, "path", "top", "oauth", F.explode(F.from_json("item", "map<string,string>")).alias("method", "raw")).where(F.col("method").isin(*METHODS))
+    operations = members.withColumn("op", F.from_json("raw", _OPERATION))
     none = F.lit(None).cast("string")
     out = doc.select(key, none.alias("path"), none.alias("method"), F.explode(found(whole)).alias("f")).unionByName(operations.select(key, "path", "method", F.explode(found(each)).alias("f")))
     return out.select(key, "path", "method", "f.*")
