@@ -2,8 +2,12 @@
 
 A vector is the sum of one full-dimensional codeword from each codebook.  The codebooks are trained level by level on
 the residuals of all vectors; encoding keeps a beam of partial sums.  The first codebook also parts the vectors into
-lists, each vector being in those of its nearest few first-level codewords.  Every vector is a query: it visits the lists of its nearest first-level codewords, scores their members by
-lookup tables of inner products and the stored norms of the sums, and reranks the best of each list by exact distance.
+lists, each vector being in those of its nearest first-level codewords.  Every vector is a query: it visits the lists
+of the first-level codewords that are not much farther than the nearest one, scores their members by lookup tables of
+inner products and the stored norms of the sums, and reranks a fixed number of each list by exact distance.
+
+How many lists are visited follows from the vectors: a few where they are clustered, a share of all where they have
+no structure, since there no search that holds recall can leave out more.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ LEVELS = 8
 WORDS = 256
 ROUNDS = 3
 BEAM = 8
-#: A vector is a member of this many lists, and visits this share of the lists, PROBES at least.  The share holds recall
-#: on vectors without any clusters; clustered ones need less.
-MEMBERSHIPS = 6
-PROBES = 24
-PROBE_SHARE = 0.125
-RERANK = 64
-RERANK_SHARE = 0.2
+#: A vector is a member of this many lists.  It visits every list whose codeword's squared distance is at most
+#: 1 + SPREAD times that of the nearest one, and PROBES lists at least.
+MEMBERSHIPS = 4
+PROBES = 8
+SPREAD = 0.22
+RERANK = 96
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -105,13 +108,13 @@ def train(vectors: DataFrame, dim: int, count: int, levels: int = LEVELS, words:
     return books
 
 
-def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share: float = PROBE_SHARE, memberships: int = MEMBERSHIPS, rerank: int = RERANK, rerank_share: float = RERANK_SHARE) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, spread: float = SPREAD, memberships: int = MEMBERSHIPS, rerank: int = RERANK) -> DataFrame:
     """(vec_id, neighbor_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
 
     Approximate: recall is above 0.9 of brute force on the test tables (see the tests).  Vectors that are null, have a
     null or non-finite element, a null id or another dimension than most have no neighbours and are none.  Rows with
     equal id are one query each but are never neighbours of each other, and a neighbour id is given once, at its
-    smallest distance.  Equal distances are ordered by id.  With k or fewer other vectors all are given as far as the
+    smallest distance.  Repeated rows are queries each.  Equal distances are ordered by id.  With k or fewer other vectors all are given as far as the
     visited lists hold them; an empty table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
@@ -124,9 +127,13 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share:
     dim, count = sizes[0]["d"], sizes[0]["count"]
     clean = common.table(clean.where(F.size("v") == dim), "ann-vectors")
     books = train(clean, dim, count)
-    sent = spark.sparkContext.broadcast(books)
+    sent, levels = spark.sparkContext.broadcast([b.astype(np.float32) for b in books]), len(books)
     parts = common.partitions(spark)
-    kinds = [np.int32, np.uint8, np.int64, np.dtype((np.float32, dim)), np.dtype((np.int32, len(books))), np.float32]
+    # Lists near each other are in one target, so that a query goes to few.
+    first = books[0] - books[0].mean(axis=0)
+    along = first @ np.linalg.svd(first, full_matrices=False)[2][0]
+    target = np.empty(len(first), np.int64)
+    target[np.argsort(along, kind="stable")] = np.arange(len(first)) * parts // len(first)
 
     def top_k(of: np.ndarray, who: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k nearest different neighbours of each query, in order."""
@@ -150,45 +157,72 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES, share:
             for at in range(0, batch.num_rows, step):
                 ids, x = batch.column(0).slice(at, step).to_numpy(), _matrix(batch.column(1).slice(at, step), dim)
                 codes, norm = beam_encode(x, books)
-                m, e = (min(len(books[0]), c) for c in (max(probes, math.ceil(share * len(books[0]))), memberships))
-                near = _near(x, books[0]).argsort(1, kind="stable")
-                n = len(ids)
-                lists = np.concatenate([near[:, :e].ravel(), near[:, :m].ravel()]).astype(np.int32)
-                who = np.r_[np.repeat(np.arange(n), e), np.repeat(np.arange(n), m)]
-                query = np.r_[np.zeros(n * e, np.uint8), np.ones(n * m, np.uint8)]
-                yield common.packed_batch(list(common.pack(lists % parts, [lists, query, ids[who], x[who], codes[who].astype(np.int32), norm[who].astype(np.float32)])))
+                far = np.maximum(_near(x, books[0]) + (x * x).sum(1)[:, None], 0)
+                near = far.argsort(1, kind="stable")
+                sorted_ = np.take_along_axis(far, near, 1)
+                place = np.arange(len(books[0]))[None, :]
+                visits = (sorted_ <= (1 + spread) * sorted_[:, :1]) | (place < probes)
+                who, rank = np.nonzero(visits)
+                member, nth = np.nonzero(np.broadcast_to(place < memberships, near.shape))
+                lists = np.r_[near[member, nth], near[who, rank]].astype(np.int32)
+                who, role = np.r_[member, who], np.r_[np.zeros(len(member), np.uint8), np.ones(len(who), np.uint8)]
+                # A vector is sent once to each target, however many of its lists are there.
+                to = target[lists]
+                order = np.lexsort((who, to))
+                to, who, lists, role = to[order], who[order], lists[order], role[order]
+                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                rows = []
+                for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(to)].tolist(), strict=True):
+                    own, local = np.unique(who[a:b], return_inverse=True)
+                    rows.append((int(to[a]), b"".join([np.array([len(own), b - a], np.int64).tobytes(), ids[own].tobytes(), np.ascontiguousarray(x[own]).tobytes(), codes[own].astype(np.int32).tobytes(), norm[own].astype(np.float32).tobytes(), lists[a:b].tobytes(), local.astype(np.int32).tobytes(), role[a:b].tobytes()])))
+                yield common.packed_batch(rows)
+
+    def unpack(blob: bytes) -> list[np.ndarray]:
+        n, m = np.frombuffer(blob, np.int64, 2).tolist()
+        at, out = 16, []
+        for kind, size in ((np.int64, n), (np.dtype((np.float32, dim)), n), (np.dtype((np.int32, levels)), n), (np.float32, n), (np.int32, m), (np.int32, m), (np.uint8, m)):
+            out.append(np.frombuffer(blob, kind, size, at))
+            at += size * np.dtype(kind).itemsize
+        return out
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = sent.value
-        lists, query, ids, x, codes, norm = common.unpack_all(batches, kinds)
+        got = [unpack(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+        if not got:
+            return
+        ids, x, codes, norm, lists, who, role = (np.concatenate(c) for c in zip(*got, strict=True))
+        who = who + np.repeat(np.cumsum([0, *(len(g[0]) for g in got[:-1])]), [len(g[5]) for g in got])
+        del got
         found, held = [], 0
-        order = np.lexsort((ids, query, lists))
-        lists, query, ids, x, codes, norm = (c[order] for c in (lists, query, ids, x, codes, norm))
-        for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else [], len(lists)].astype(np.int64)), strict=True):
-            mid = a + int((query[a:b] == 0).sum())
-            base, code, size, known = x[a:mid], codes[a:mid], norm[a:mid], ids[a:mid]
+        order = np.lexsort((ids[who], role, lists))
+        lists, who, role = lists[order], who[order], role[order]
+        cuts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(lists)].tolist(), strict=True):
+            mid = a + int((role[a:b] == 0).sum())
             if mid == a:
                 continue
+            own = who[a:mid]
+            base, code, size, known = x[own], codes[own], norm[own], ids[own]
             copies = int(np.unique(known, return_counts=True)[1].max())  # rows that share an id count as one neighbour
-            step = max(1, (1 << 21) // (copies * max(rerank, math.ceil(rerank_share * (mid - a))) * dim))
+            r = min(len(base), copies * rerank)
+            step = max(1, (1 << 21) // max(r * dim, len(base)))
+            used, at_code = zip(*(np.unique(code[:, m], return_inverse=True) for m in range(levels)), strict=True)
             for at in range(mid, b, step):
-                q = x[at : min(b, at + step)]
-                own = ids[at : at + len(q)]
+                some = who[at : min(b, at + step)]
+                q, asks = x[some], ids[some]
                 loss = np.repeat(size[None, :], len(q), 0)
                 for m, words in enumerate(books):
-                    used, code_at = np.unique(code[:, m], return_inverse=True)
-                    loss -= 2 * (q @ words[used].T)[:, code_at]
-                r = min(len(base), copies * max(rerank, math.ceil(rerank_share * len(base))))
-                best = np.argpartition(loss, r - 1, axis=1)[:, :r]
+                    loss -= np.take(2 * (q @ words[used[m]].T), at_code[m], axis=1)
+                best = np.argpartition(loss, r - 1, axis=1)[:, :r] if r < len(base) else np.broadcast_to(np.arange(r), (len(q), r))
                 gap = base[best] - q[:, None, :]
                 exact = np.sqrt((gap * gap).sum(2))
-                exact[known[best] == own[:, None]] = np.inf
+                exact[known[best] == asks[:, None]] = np.inf
                 top = min(k * copies, r)
                 pick = np.lexsort((known[best], exact), axis=1)[:, :top]
-                who, far = np.take_along_axis(known[best], pick, 1), np.take_along_axis(exact, pick, 1)
+                near, far = np.take_along_axis(known[best], pick, 1), np.take_along_axis(exact, pick, 1)
                 keep = np.isfinite(far).ravel()
-                of = np.repeat(own, top)[keep]
-                found.append((of, who.ravel()[keep], far.ravel()[keep].astype(np.float32)))
+                of = np.repeat(asks, top)[keep]
+                found.append((of, near.ravel()[keep], far.ravel()[keep].astype(np.float32)))
                 held += len(of)
                 if held > 2_000_000:
                     found = [top_k(*map(np.concatenate, zip(*found, strict=True)))]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir  # noqa: F401
+
 U64 = np.uint64
 SLICE_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
@@ -23,27 +24,6 @@ _PINV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.  Where that is unset, a fresh one of this machine if Spark runs on this
-    machine alone; on a cluster, where other machines couldn't read that, an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="sievelight-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor and cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (schema known, no inference)."""
     spark = df.sparkSession
