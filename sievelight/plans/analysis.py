@@ -11,7 +11,7 @@ from ..operators import workflow as W
 from ..sources.stand_in import table
 from ..streaming import jobs as ST
 from .base import query
-from .platform import _CAP, _EDGES, _TOKENS, _edges  # noqa: F401
+from .platform import _CAP, _EDGES, _edges
 
 # --- specifications ------------------------------------------------------------------------------------------------
 
@@ -68,8 +68,8 @@ def det_verify(spark, d):
     return D.det_verify(D.det_regex(table(spark, d, "documents"), "doc_id", "text")).groupBy("rule_id", "verification_state").agg(F.count("*").alias("n"))
 
 
-@query("det_context_paths", "SELECT path, m AS match FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'src/a' WHEN 1 THEN 'tests/b' ELSE 'src/c_test.py' END AS path, unnest(regexp_extract_all(text, '[0-9A-Za-z+/=_-]{20,}')) AS m FROM documents) WHERE path = 'src/a' AND NOT regexp_matches(m, '(?i)(example|placeholder|changeme|dummy|your[_-])')")
-def det_context_paths(spark, d):
+@query("det_context", "SELECT path, m AS match FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'src/a' WHEN 1 THEN 'tests/b' ELSE 'src/c_test.py' END AS path, unnest(regexp_extract_all(text, '[0-9A-Za-z+/=_-]{20,}')) AS m FROM documents) WHERE path = 'src/a' AND NOT regexp_matches(m, '(?i)(example|placeholder|changeme|dummy|your[_-])')")
+def det_context(spark, d):
     path = F.when(F.col("doc_id") % 3 == 0, "src/a").when(F.col("doc_id") % 3 == 1, "tests/b").otherwise("src/c_test.py")
     hits = table(spark, d, "documents").select(path.alias("path"), F.explode(F.regexp_extract_all("text", F.lit("[0-9A-Za-z+/=_-]{20,}"), F.lit(0))).alias("match"))
     return D.det_context(hits, "match", "path")

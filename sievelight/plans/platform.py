@@ -242,7 +242,13 @@ def win_cap(spark, d):
     return J.win_cap(o, "bucket", 20, 400)
 
 
-@query("shard_lpt")
+_LPT = """WITH RECURSIVE f AS (SELECT p_brand, 'a/b' || p_partkey AS path, CAST(p_size AS BIGINT) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, string_split('a/b' || p_partkey, '/')) AS k, least(count(*) OVER (PARTITION BY p_brand), 4) AS n FROM part),
+s AS (SELECT p_brand, k, path, size, CAST(0 AS BIGINT) AS shard, list_transform(range(0, n), lambda i: CASE WHEN i = 0 THEN size ELSE 0 END) AS loads FROM f WHERE k = 1
+UNION ALL SELECT f.p_brand, f.k, f.path, f.size, CAST(list_position(s.loads, list_min(s.loads)) - 1 AS BIGINT), list_transform(s.loads, lambda v, i: v + CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN f.size ELSE 0 END) FROM s JOIN f ON f.p_brand = s.p_brand AND f.k = s.k + 1)
+SELECT p_brand, CAST(shard AS INTEGER) AS shard, path, size FROM s"""
+
+
+@query("shard_lpt", _LPT)
 def shard_lpt(spark, d):
     f = table(spark, d, "part").select("p_brand", F.concat(F.lit("a/b"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
     return J.shard_lpt(f, "p_brand", 4)
@@ -488,11 +494,6 @@ def det_mask(spark, d):
     return D.det_entropy(table(spark, d, "documents"), "doc_id", "text").where("kind = 'hex'").select("doc_id", scalar.mask(F.col("token")).alias("masked"))
 
 
-@query("det_context", "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(?i)(example|placeholder|changeme|dummy|your[_-])')")
-def det_context(spark, d):
-    return D.det_context(table(spark, d, "pages"), "url").select("page_id", "url")
-
-
 @query("det_rules", "SELECT page_id, 'script-tag' AS rule_id, 'Medium' AS severity, unnest(regexp_extract_all(html, '<script[^>]*>')) AS match FROM pages")
 def det_rules(spark, d):
     return D.det_regex(table(spark, d, "pages"), "page_id", "html", (("script-tag", "<script[^>]*>", "Medium"),))
@@ -522,7 +523,13 @@ def rate_limit(spark, d):
     return ST.rate_limit(table(spark, d, "events"), 6)
 
 
-@query("token_bucket")
+_BUCKET = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, CAST({_COST} AS DOUBLE) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, us, k, CASE WHEN 10 >= c THEN CAST(10 AS DOUBLE) - c ELSE CAST(10 AS DOUBLE) END AS tokens, 10 >= c AS allowed FROM e WHERE k = 1
+UNION ALL SELECT user_id, event_id, us, k, CASE WHEN held >= c THEN held - c ELSE held END, held >= c FROM (SELECT e.*, least(CAST(10 AS DOUBLE), b.tokens + CAST(e.us - b.us AS DOUBLE) / 1e6 * CAST(0.001 AS DOUBLE)) AS held FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1))
+SELECT user_id, event_id, allowed FROM b"""
+
+
+@query("token_bucket", _BUCKET)
 def token_bucket(spark, d):
     return ST.token_bucket(table(spark, d, "events"), 10, 0.001)
 
@@ -554,3 +561,18 @@ def src_queue(spark, d):
 def stream_rate_limit(spark, d):
     folder, s = _stream(spark, d, "events")
     return _drained(spark, ST.rate_limit(s, 6, late="3650 days"), folder, "complete")
+
+
+@query("stream_lifecycle", ", t AS (SELECT job_id, seq, to_status, max(to_status) FILTER (seq = 3) OVER (PARTITION BY job_id) AS third FROM requests WHERE job_id % 10 = 0) SELECT job_id, seq, CASE seq WHEN 1 THEN 'Pending' WHEN 2 THEN 'Queued' WHEN 3 THEN 'Running' ELSE CASE third WHEN 'Cancelled' THEN 'Running' ELSE third END END AS from_status, to_status, seq < 3 OR (seq = 3 AND third <> 'Cancelled') AS applied FROM t", "requests")
+def stream_lifecycle(spark, d):
+    root = folder(spark, "stream-")
+    src = transitions(spark, d).where("job_id % 10 = 0").select("job_id", F.col("seq").cast("int").alias("seq"), "to_status", "ts")
+    src.write.mode("overwrite").parquet(f"{root}/in")
+    # With a state time-out a stream goes on with empty batches, to look for what has timed out, and wouldn't end.
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return _drained(spark, ST.lifecycle(ST.queue(spark, f"{root}/in", src.schema, 1000)), root).select("job_id", "seq", "from_status", "to_status", "applied")
+    finally:
+        spark.conf.set(name, before)

@@ -35,6 +35,11 @@ def lifecycle(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     A request that is no edge, or whose seq is not beyond the last applied one, changes nothing and is reported with
     applied = false.  State that sees nothing for ``ttl_ms`` is dropped.
     """
+    return requests.groupBy("job_id").applyInPandasWithState(lifecycle_step(ttl_ms), LIFECYCLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def lifecycle_step(ttl_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state function of ``lifecycle``."""
     allowed = set(schema.JOB_EDGES)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,17 +47,18 @@ def lifecycle(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
             state.remove()
             return
         status, last = state.get if state.exists else ("Pending", 0)
-        rows = []
-        for r in pd.concat(list(pdfs)).sort_values("seq").itertuples():
-            good = (status, r.to_status) in allowed and r.seq > last
-            rows.append((key[0], r.seq, status, r.to_status, good, r.ts))
-            if good:
-                status, last = r.to_status, r.seq
+        rows = pd.concat(list(pdfs)).sort_values("seq", kind="stable")
+        before, good = [], []
+        for seq, to in zip(rows["seq"].tolist(), rows["to_status"].tolist(), strict=True):
+            before.append(status)
+            good.append((status, to) in allowed and seq > last)
+            if good[-1]:
+                status, last = to, seq
         state.update((status, int(last)))
         state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(rows, columns=["job_id", "seq", "from_status", "to_status", "applied", "ts"])
+        yield pd.DataFrame({"job_id": key[0], "seq": rows["seq"], "from_status": before, "to_status": rows["to_status"], "applied": good, "ts": rows["ts"]})
 
-    return requests.groupBy("job_id").applyInPandasWithState(step, LIFECYCLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return step
 
 
 COSTS = {"view": 1, "click": 1, "signup": 2, "purchase": 3, "error": 6}

@@ -186,3 +186,31 @@ def test_many_events_of_one_user_are_one_pass(spark):
 
 def test_the_shared_folder_is_that_of_the_session(spark):
     assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_state_that_sees_nothing_is_dropped():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, timeout = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+    step, state = streaming.lifecycle_step(7_200_000), State()
+    batch = lambda *rows: iter([pd.DataFrame([(1, s, t, pd.Timestamp("2024-01-01")) for s, t in rows], columns=["job_id", "seq", "to_status", "ts"])])
+    (out,) = step((1,), batch((2, "Running"), (1, "Queued")), state)
+    assert out["applied"].tolist() == [True, True] and state.get == ("Running", 2) and state.timeout == 7_200_000
+    (out,) = step((1,), batch((2, "Running"), (3, "Queued"), (4, "Failed")), state)
+    assert out["applied"].tolist() == [False, False, True] and out["from_status"].tolist() == ["Running"] * 3
+    state.hasTimedOut = True
+    assert list(step((1,), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    (out,) = step((1,), batch((5, "Queued")), state)
+    assert out["from_status"].tolist() == ["Pending"]
