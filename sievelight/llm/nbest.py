@@ -147,8 +147,11 @@ class Chart:
     def find(self, key: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 if none."""
         c = self.first[key & self.mask]
-        c = np.where(self.key[c] == key, c, self.second[(key >> np.uint64(20)) & self.mask])
-        return np.where(self.key[c] == key, self.id[c], np.int32(-1))
+        rest = np.nonzero((c < len(self.id) - 1) & (self.key[c] != key))  # an empty place in the first table: no piece
+        if len(rest[0]):
+            other = self.second[(key[rest] >> np.uint64(20)) & self.mask]
+            c[rest] = np.where(self.key[other] == key[rest], other, len(self.id) - 1)
+        return self.id[c]
 
     def solve(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """(best score, loss of the second best, ids of the best, whether it decodes to the word) for each word."""
@@ -181,37 +184,31 @@ class Chart:
 
     def _group(self, own, size, place, last, total, inv, top, gap, ids, fine, raw) -> None:
         m, longest, score = len(own), self.lattice.longest, self.lattice.score
-        place = np.concatenate([place, last[:, None]], axis=1)
+        place = np.ascontiguousarray(np.concatenate([place, last[:, None]], axis=1).T)
+        upto, unit, at = total[place], inv[place[:-1]], place.astype(np.uint64)
         f = np.full((size + 1, m), -np.inf)
         f[0] = 0
         back, into = np.zeros((size + 1, m), np.int64), np.full((size + 1, m), -1, np.int32)
-        edge: dict[tuple[int, int], np.ndarray] = {}
+        edges: list[np.ndarray] = [np.zeros((0, m))]
+        row = np.arange(m)
         for end in range(1, size + 1):
-            b = place[:, end]
-            for start in range(max(0, end - longest), end):
-                a = place[:, start]
-                piece = self.find(common.mix((total[b] - total[a]) * inv[a] + (b - a).astype(np.uint64)))
-                bare = np.flatnonzero(piece < 0) if start == end - 1 else ()
-                if len(bare):
-                    piece[bare] = self.single[raw[a[bare]]]
-                known = np.flatnonzero(piece >= 0)
-                if not len(known):
-                    continue
-                s = np.full(m, -np.inf)
-                s[known] = score[piece[known]]
-                if len(bare):
-                    s[bare] = np.where(piece[bare] >= 0, self.lattice.byte_score, -np.inf)
-                edge[start, end] = s
-                through = f[start] + s
-                better = through > f[end]
-                np.copyto(f[end], through, where=better)
-                np.copyto(back[end], start, where=better)
-                np.copyto(into[end], piece, where=better)
+            low = max(0, end - longest)
+            piece = self.find(common.mix((upto[end] - upto[low:end]) * unit[low:end] + (at[end] - at[low:end])))
+            bare = np.flatnonzero(piece[-1] < 0)
+            if len(bare):
+                piece[-1, bare] = self.single[raw[place[end - 1, bare]]]
+            s = np.where(piece >= 0, score[piece], -np.inf)
+            if len(bare):
+                s[-1, bare] = np.where(piece[-1, bare] >= 0, self.lattice.byte_score, -np.inf)
+            edges.append(s)
+            through = f[low:end] + s
+            top_at = through.argmax(axis=0)  # of equal ones the longest last piece
+            f[end], back[end], into[end] = through[top_at, row], low + top_at, piece[top_at, row]
         good = np.isfinite(f[size])
         b = np.full((size + 1, m), -np.inf)
         b[size] = 0
         path = np.zeros((size + 1, m), bool)  # nodes of the best path
-        row, now = np.arange(m), np.where(good, size, 0)
+        now = np.where(good, size, 0)
         flat = np.full((size, m), -1, np.int32)
         count = np.zeros(m, np.int64)
         path[now, row] = True
@@ -224,14 +221,13 @@ class Chart:
             path[now, row] = True
         second = np.full(m, -np.inf)
         for end in range(size, 0, -1):
-            for start in range(max(0, end - longest), end):
-                s = edge.get((start, end))
-                if s is None:
-                    continue
-                through = s + b[end]
-                b[start] = np.maximum(b[start], through)
-                on = path[start] & path[end] & (back[end] == start)
-                second = np.maximum(second, np.where(on, -np.inf, f[start] + through))
+            low = max(0, end - longest)
+            through = edges[end] + b[end]
+            b[low:end] = np.maximum(b[low:end], through)
+            rest = f[low:end] + through
+            on = np.flatnonzero(path[end] & path[back[end], row])
+            rest[back[end, on] - low, on] = -np.inf  # the edge of the best path itself
+            second = np.maximum(second, rest.max(axis=0))
         best = f[size]
         top[own] = best
         with np.errstate(invalid="ignore"):
@@ -244,9 +240,9 @@ class Chart:
             pieces = np.concatenate([ids[own[k]] for k in some.tolist()])
             spelt = self.size[pieces]
             out = self.bytes[np.repeat(self.at[pieces] - (np.cumsum(spelt) - spelt), spelt) + np.arange(spelt.sum())]
-            width = last[some] - place[some, 0]
+            width = last[some] - place[0, some]
             begin = np.cumsum(width) - width
-            word = raw[np.repeat(place[some, 0] - begin, width) + np.arange(width.sum())]
+            word = raw[np.repeat(place[0, some] - begin, width) + np.arange(width.sum())]
             if len(out) == len(word):
                 wrong = np.r_[0, np.cumsum(out != word)]
                 fine[own[some]] = wrong[begin + width] == wrong[begin]
