@@ -28,6 +28,8 @@ from . import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 5
 _KEEP = 200_000
+#: Words whose alternatives a task keeps, about 1 KB each.
+_KEEP_RIVALS = 30_000
 _BAR = "▁"
 SCHEMA = "doc_id long, rank int, score double, ids array<int>, decoded_ok boolean"
 
@@ -312,7 +314,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
             new = np.flatnonzero(slot < 0)
             if len(new):
                 slot[new] = store.add([unique[k] for k in new.tolist()], *chart.solve(raw, starts[at[new]], ends[at[new]]))
-            if len(rivals) > _KEEP:
+            if len(rivals) > _KEEP_RIVALS:
                 rivals = {}
             words = np.searchsorted(starts, off)
             each = store.size[slot][index]
