@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that operators use inside are given as further columns of the input.
-CLASHES = ("row", "w", "line", "h", "pos", "shard", "s", "o", "b", "node", "size", "dropped", "d", "r", "q", "id")
+CLASHES = ("row", "w", "line", "h", "c", "n", "t", "pos", "shard", "s", "o", "b", "k", "node", "size", "dropped", "d", "r", "q", "id", "own", "gone", "new", "lines", "rid", "bits", "member", "pivot", "low", "high", "block", "bucket", "digest", "kind")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
