@@ -612,7 +612,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     empty result; further columns of any name are kept.
     """
     pairs = common.table(join(docs, n, threshold), "jaccard-pairs")
-    gone = components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("id").alias("gone"))
+    gone = common.table(components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("id").alias("gone")), "jaccard-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
     return rows.join(common.checked(gone), F.col("own") == F.col("gone"), "left_anti").select("row.*")
 

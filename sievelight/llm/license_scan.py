@@ -74,7 +74,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K) -
     voted = merged.groupBy(*key, "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("tlast").alias("tlast"), F.min("tfirst").alias("tfirst"), F.size(F.array_distinct(F.flatten(F.collect_list("tset")))).alias("seen"))
     likely = voted.join(F.broadcast(sized), "license").withColumn("cover", F.round(F.col("seen") / (F.col("tn") - (k - 1)), 6)).where(F.col("cover") >= LEAST_COVER)
     spans = likely.select(*key, "votes", "cover", "ttext", F.greatest(F.col("first") - F.col("tfirst"), F.lit(0)).alias("start_word"), (F.col("last") + F.col("tn") - F.col("tlast")).alias("reach"))
-    spans = common.cut(spans.withColumnsRenamed({"doc_id": "id", "row_hash": "rh"}))
+    spans = common.table(spans.withColumnsRenamed({"doc_id": "id", "row_hash": "rh"}), "license-spans")
     text = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"))
     same = text["doc_id"].eqNullSafe(spans["id"]) & (text["row_hash"] == spans["rh"])
     # Few documents have licences: their spans are broadcast while they are few, and joined by a shuffle beyond that.
