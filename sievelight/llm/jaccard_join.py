@@ -11,21 +11,24 @@ two exact steps, each of which only rules pairs out:
 2. Bitmaps of 2 to 4 bits an n-gram travel to the region of a candidate's pivot.  An n-gram whose bit the other set
    doesn't have isn't shared, which bounds the overlap from above; pairs below the bound go.
 
-The pairs that stay are nearly those that match.  Now every set's pivot is the smallest set that it is paired with, or
-itself.  The sets of one pivot are a cell; a set is replicated into another cell if it is paired with a set at home
-there.  Whole sets travel only here, as texts.  Inside a cell further pivots create Voronoi cells; a set is replicated
-into another one if the triangle inequality leaves a match there possible; cells join recursively, and by exact
-overlaps once they are small or no longer shrink.  A pair is given by the cell in which its smaller set is at home, so
-no pair is given twice.  Regions of more n-grams than a task should hold are cut into a grid of blocks.
+The pairs that stay are nearly those that match; only the members that have one stay in a region.  Whole sets travel
+only here, as texts.  Inside a region pivots create Voronoi cells; a set is replicated into another one if the triangle
+inequality leaves a match there possible; cells join recursively, and by exact overlaps once they are small or pivots
+rule too little out.  A pair is given by the region of the smallest pivot that both of its sets belong to, so no pair is
+given twice.  Regions of more n-grams than a task should hold are cut into a grid of blocks.
+
+A family of m near copies has m (m - 1) / 2 pairs.  They are all compared, but only ``join`` and ``join_all`` make rows of
+them; ``classes`` adds them up in the tasks to a count of links and a spanning forest.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,9 @@ REGION_BITS = 64_000_000
 REGION_SETS = 4_000_000
 _WINDOW = 1 << 22
 _PAIRS = 1 << 21
+#: Overlaps are matrix products if at most so many times as many n-grams are shared as a set has; else by look-up.
+_DENSE = 64
+_CELLS = 1 << 20
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,39 +133,81 @@ def possible(size: np.ndarray, maps: list[bytes], t: float, group: np.ndarray |
 
 def region_join(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 12) -> list[tuple[int, int, int]]:
     """(i, j, overlap) of all pairs with Jaccard >= t, i < j, by recursive pivots; exact."""
+    return [x for i, j, o in region_blocks(sets, t, leaf, cells) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), o.tolist(), strict=True)]
+
+
+def region_blocks(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 12) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of ``region_join``, each pair once, in any order of its two sets."""
     if not sets:
-        return []
+        return
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets], np.int64)
     off = np.r_[0, np.cumsum(size)]
     flag = np.zeros(codes.max(initial=0) + 1, bool)
-    out: dict[tuple[int, int], int] = {}
+    Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def flat(ids: np.ndarray) -> np.ndarray:
+        each = size[ids]
+        return codes[np.repeat(off[ids] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
 
     def overlaps(p: int, ids: np.ndarray) -> np.ndarray:
         mine = codes[off[p] : off[p + 1]]
         flag[mine] = True
-        each = size[ids]
-        ends = np.cumsum(each)
-        at = np.repeat(off[ids] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-        got = np.r_[0, np.cumsum(flag[codes[at]])]
+        got = np.r_[0, np.cumsum(flag[flat(ids)])]
         flag[mine] = False
-        return got[ends] - got[ends - each]
+        ends = np.cumsum(size[ids])
+        return got[ends] - got[ends - size[ids]]
 
-    def emit(p: int, ids: np.ndarray) -> None:
-        ids = ids[(size[ids] >= t * size[p] - 1e-9) & (size[p] >= t * size[ids] - 1e-9) & (ids != p)]
-        if len(ids):
-            both = overlaps(p, ids)
-            for q, o in zip(ids[both >= t * (size[p] + size[ids] - both) - 1e-9].tolist(), both[both >= t * (size[p] + size[ids] - both) - 1e-9].tolist(), strict=True):
-                out[(min(p, q), max(p, q))] = o
+    def matches(both: np.ndarray, p: np.ndarray | int, ids: np.ndarray) -> np.ndarray:
+        return both >= t * (size[p] + size[ids] - both) - 1e-9
 
-    def join(own: np.ndarray, guests: np.ndarray) -> None:
+    def every(own: np.ndarray, guests: np.ndarray) -> Found:
+        """Without pivots: all sets of ``own`` against those after them and the guests."""
+        both = np.r_[own, guests]
+        column, row = flat(both), np.repeat(np.arange(len(both)), size[both])
+        _, column, times = np.unique(column, return_inverse=True, return_counts=True)
+        shared = times > 1
+        row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        width = int(shared.sum())
+        if not width:
+            return
+        if width * len(both) > _DENSE * size[both].sum():
+            for k, p in enumerate(own.tolist()):
+                ids = np.r_[own[k + 1 :], guests]
+                ids = ids[(size[ids] >= t * size[p] - 1e-9) & (size[p] >= t * size[ids] - 1e-9)]
+                if len(ids):
+                    o = overlaps(p, ids)
+                    good = matches(o, p, ids)
+                    yield np.full(int(good.sum()), p), ids[good], o[good]
+            return
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        wide = max(1, 8 * _CELLS // len(both))
+        cuts = [(c, *np.searchsorted(column, [c, c + wide]).tolist()) for c in range(0, width, wide)]
+
+        def matrix(c: int, a: int, b: int) -> np.ndarray:
+            got = np.zeros((len(both), min(wide, width - c)), np.float32)
+            got[row[a:b], column[a:b] - c] = 1
+            return got
+
+        whole = matrix(*cuts[0]) if len(cuts) == 1 else None
+        step = max(1, _CELLS // len(both))
+        for at in range(0, len(own), step):
+            end = min(at + step, len(own))
+            o = np.zeros((end - at, len(both) - at), np.float32)
+            for cut in cuts:
+                part = matrix(*cut) if whole is None else whole
+                o += part[at:end] @ part[at:].T
+            i, j = np.nonzero(matches(o, own[at:end][:, None], both[None, at:]) & (np.arange(len(both) - at)[None, :] > np.arange(end - at)[:, None]))
+            yield own[at + i], both[at + j], o[i, j].astype(np.int64)
+
+    def join(own: np.ndarray, guests: np.ndarray) -> Found:
         """All pairs inside ``own`` and between ``own`` and ``guests``."""
         if not len(own):
             return
         both = np.r_[own, guests]
         if len(own) <= leaf or len(both) <= 2 * leaf:
-            for k, p in enumerate(own.tolist()):
-                emit(p, np.r_[own[k + 1 :], guests])
+            yield from every(own, guests)
             return
         pivots = own[np.linspace(0, len(own) - 1, min(cells, len(own) // 2)).astype(np.int64)]
         distance = np.empty((len(both), len(pivots)))
@@ -167,25 +215,68 @@ def region_join(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int = 1
             o = overlaps(p, both)
             distance[:, c] = 1 - o / np.maximum(1, size[both] + size[p] - o)
         nearest = distance.argmin(axis=1)
-        cell = [both[: len(own)][nearest[: len(own)] == c] for c in range(len(pivots))]
-        if max(map(len, cell)) > 0.9 * len(own):  # the pivots don't part it
-            for k, p in enumerate(own.tolist()):
-                emit(p, np.r_[own[k + 1 :], guests])
-            return
         r = 1 - t
+        found, work = [], 0.0
         for c in range(len(pivots)):
-            if not len(cell[c]):
+            mine = nearest[: len(own)] == c
+            if not mine.any():
                 continue
-            radius = distance[: len(own)][nearest[: len(own)] == c, c].max()
+            radius = distance[: len(own)][mine, c].max()
             # Triangle inequality: a match of a member of this cell is within radius + r of its pivot.  Each pair of
             # two cells is joined in the later one; guests visit every cell that they can match in.
             window = (distance[:, c] <= radius + r + 1e-9) & (distance[:, c] <= distance[np.arange(len(both)), nearest] + 2 * r + 1e-9)
             visits = np.r_[window[: len(own)] & (nearest[: len(own)] < c), distance[len(own) :, c] <= radius + r + 1e-9]
-            join(cell[c], both[visits])
+            found.append((both[: len(own)][mine], both[visits]))
+            work += mine.sum() * (mine.sum() / 2 + visits.sum())
+        if work > 0.5 * len(own) * (len(own) / 2 + len(guests)):  # the pivots rule too little out
+            yield from every(own, guests)
+            return
+        for cell, visitors in found:
+            yield from join(cell, visitors)
 
-    order = np.argsort(size, kind="stable")
-    join(order, np.zeros(0, np.int64))
-    return [(i, j, o) for (i, j), o in out.items()]
+    yield from join(np.argsort(size, kind="stable"), np.zeros(0, np.int64))
+
+
+def _several(blocks: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in blocks of ``least`` rows or more."""
+    held, n = [], 0
+    for block in blocks:
+        held.append(block)
+        n += len(block[0])
+        if n >= least:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of i[k] and j[k] in place; ``root`` has for every item the smallest item of its tree."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _covered(lower: pa.ChunkedArray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether two members share one of the pivots in their lists ``lower``, for arrays of members."""
+    lists = lower.combine_chunks() if isinstance(lower, pa.ChunkedArray) else lower
+    pivot = lists.flatten().to_numpy(zero_copy_only=False)
+    who = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    _, code, times = np.unique(pivot, return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    if not shared.any():
+        return lambda i, j: np.zeros(len(i), bool)
+    who, (_, code) = who[shared], np.unique(code[shared], return_inverse=True)
+    bits = np.zeros((len(lists), code.max() // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (who, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    step = max(1, _PAIRS // bits.shape[1])
+    return lambda i, j: np.concatenate([np.zeros(0, bool), *((bits[i[a : a + step]] & bits[j[a : a + step]]).any(axis=1) for a in range(0, len(i), step))])
 
 
 def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], int]:
@@ -469,63 +560,87 @@ def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return node[left], node[right], np.where(times == _MOST, _STAR, times), np.minimum(need[left], need[right])
 
 
-def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, n: int, t: float) -> DataFrame:
-    """(a, b, overlap, jaccard) of all pairs of different nodes with Jaccard >= t, a < b, each once."""
+def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, n: int, t: float, weights: DataFrame | None = None) -> DataFrame:
+    """(a, b, overlap, jaccard) of all pairs of different nodes with Jaccard >= t, a < b, each once.
+
+    With ``weights`` (node, weight, listed) rows (node, root, links, a, b) instead.  Those with a node: the nodes of the
+    partners that it meets in one region add up to ``links`` by weight, and root is the smallest node that it is
+    connected with there.  The others are the pairs of which a node is listed.
+    """
     parts = common.partitions(docs.sparkSession)
     regions = _candidates(docs, frequent, total, n, t)
     # One document stands for each node.
-    wanted = common.table(regions.select(F.col("member").alias("node")).distinct(), "jaccard-wanted")
-    mapped = members.where("bits IS NOT NULL").join(common.checked(wanted), "node", "left_semi")
-    chosen = common.table(mapped.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("of"), F.first("size").alias("size")).select(F.col("node").alias("member"), "of.*", "size"), "jaccard-chosen")
-    placed = common.table(_blocks(regions.join(common.checked(chosen), "member"), REGION_BITS), "jaccard-placed")
+    wanted = common.table(regions.groupBy(F.col("member").alias("node")).agg(F.collect_list("pivot").alias("pivots")), "jaccard-wanted")
+    mapped = members.where("bits IS NOT NULL").join(common.checked(wanted.select("node")), "node", "left_semi")
+    chosen = mapped.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("of"), F.first("size").alias("size")).join(common.checked(wanted), "node")
+    if weights is not None:
+        chosen = weights.join(common.checked(common.table(chosen, "jaccard-stand-ins")), "node")
+    extra = [c for c in ("weight", "listed") if weights is not None]
+    chosen = common.table(chosen.select(F.col("node").alias("member"), "of.*", "size", "pivots", *extra), "jaccard-chosen")
+    whole = regions.join(common.checked(chosen), "member").withColumn("lower", F.filter("pivots", lambda p: p < F.col("pivot"))).drop("pivots")
+    whole = common.table(whole, "jaccard-whole")
+    placed = common.table(_blocks(whole.drop(*extra), REGION_BITS), "jaccard-placed")
     maps = members.where("bits IS NOT NULL").select("doc_id", "rid", "bits")
-    sifted = maps.join(common.checked(placed), ["doc_id", "rid"]).select(*_KEY, "block", "member", "size", "bits")
+    sifted = maps.join(common.checked(placed), ["doc_id", "rid"]).select(*_KEY, "block", "member", "size", "bits", "lower")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def drain() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["x", "y"])
-
+        """Those who have a possible partner in the region and not in one of a smaller pivot."""
         for group in _groups(batches):
-            member, size = group["member"].to_numpy(), group["size"].to_numpy().astype(np.int64)
+            size, covered = group["size"].to_numpy().astype(np.int64), _covered(group["lower"])
             cross = group["low"][0].as_py() != group["high"][0].as_py()
+            stays = np.zeros(len(size), bool)
             for i, j in possible(size, group["bits"].to_pylist(), t, group["block"].to_numpy() if cross else None):
-                held.append(np.stack([np.minimum(member[i], member[j]), np.maximum(member[i], member[j])], axis=1))
-                n_held += len(i)
-                if n_held > _PAIRS:
-                    yield drain()
-                    held, n_held = [], 0
-        if held:
-            yield drain()
-
-    pairs = sifted.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(sift, "x long, y long")
-    pairs = common.table(pairs.distinct(), "jaccard-sifted")
-    home = common.table(_homes(pairs), "jaccard-homes")
-    at = pairs.join(common.checked(home), "x")
-    regions = at.select("pivot", F.col("x").alias("member")).unionByName(at.select("pivot", F.col("y").alias("member"))).distinct()
-    regions = regions.join(common.checked(home.select(F.col("x").alias("member"), F.col("pivot").alias("home"))), "member").join(common.checked(chosen), "member")
-    regions = common.table(_blocks(regions.select("pivot", "member", "doc_id", "rid", "size", (F.col("home") == F.col("pivot")).alias("own")), REGION_SETS), "jaccard-cells")
+                fresh = ~(stays[i] & stays[j])
+                i, j = i[fresh], j[fresh]
+                fresh = ~covered(i, j)
+                stays[i[fresh]] = stays[j[fresh]] = True
+            if stays.any():
+                yield from common.to_batches({"pivot": pa.array(group["pivot"].to_numpy()[stays]), "member": pa.array(group["member"].to_numpy()[stays])})
+
+    stays = sifted.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(sift, "pivot long, member long")
+    stays = common.table(stays.distinct(), "jaccard-sifted")
+    cells = common.table(_blocks(whole.join(common.checked(stays), ["pivot", "member"]), REGION_SETS), "jaccard-cells")
     # Few cells are broadcast, so that the texts move once, to their cells; many are joined by a shuffle.
-    cells = _source(docs).join(common.checked(regions), ["doc_id", "rid"]).select(*_KEY, "block", "member", "own", "text")
+    cells = _source(docs).join(common.checked(cells), ["doc_id", "rid"]).select(*_KEY, "block", "member", "lower", "text", *extra)
+
+    def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        """(i, j, overlap, jaccard) of the pairs that the group gives; the node of i is the smaller one."""
+        grams, off = gram_sets(group["text"].combine_chunks(), n)
+        member, block, covered, size = group["member"].to_numpy(), group["block"].to_numpy(), _covered(group["lower"]), np.diff(off)
+        cross = group["low"][0].as_py() != group["high"][0].as_py()
+        for i, j, o in _several(region_blocks([grams[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], t)):
+            keep = ~covered(i, j) & ((block[i] != block[j]) | (not cross))
+            i, j, o = i[keep], j[keep], o[keep]
+            swap = member[i] > member[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield i, j, o, o / (size[i] + size[j] - o)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            grams, off = gram_sets(group["text"].combine_chunks(), n)
-            member, own, block = group["member"].to_numpy(), np.asarray(group["own"].combine_chunks()), group["block"].to_numpy()
-            cross, size = group["low"][0].as_py() != group["high"][0].as_py(), np.diff(off)
-            found = region_join([grams[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], t)
-            if not found:
-                continue
-            i, j, o = np.array(found, np.int64).T
-            swap = member[i] > member[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            keep = own[i] & ((block[i] != block[j]) | (not cross))
-            i, j, o = i[keep], j[keep], o[keep]
-            yield from common.to_batches({"a": pa.array(member[i]), "b": pa.array(member[j]), "overlap": pa.array(o), "jaccard": pa.array(o / (size[i] + size[j] - o))})
+            member = group["member"].to_numpy()
+            for i, j, o, jaccard in pairs(group):
+                yield from common.to_batches({"a": pa.array(member[i]), "b": pa.array(member[j]), "overlap": pa.array(o), "jaccard": pa.array(jaccard)})
 
-    return cells.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(join, "a long, b long, overlap long, jaccard double")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            member, weight, listed = group["member"].to_numpy(), group["weight"].to_numpy(), np.asarray(group["listed"].combine_chunks())
+            root, links, met = np.arange(len(member)), np.zeros(len(member), np.int64), np.zeros(len(member), bool)
+            for i, j, _, _ in pairs(group):
+                unite(root, i, j)
+                met[i] = met[j] = True
+                for x, y in ((i, j), (j, i)):
+                    links += np.bincount(x, weight[y], len(member)).astype(np.int64)
+                known = listed[i] | listed[j]
+                yield from common.to_batches({c: pa.nulls(int(known.sum()), pa.int64()) for c in ("node", "root", "links")} | {"a": pa.array(member[i[known]]), "b": pa.array(member[j[known]])})
+            if met.any():
+                least = np.full(len(member), np.iinfo(np.int64).max)
+                np.minimum.at(least, root, member)
+                yield from common.to_batches({"node": pa.array(member[met]), "root": pa.array(least[root[met]]), "links": pa.array(links[met])} | {c: pa.nulls(int(met.sum()), pa.int64()) for c in ("a", "b")})
+
+    placed = cells.repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+    if weights is None:
+        return placed.mapInArrow(join, "a long, b long, overlap long, jaccard double")
+    return placed.mapInArrow(link, "node long, root long, links long, a long, b long")
 
 
 def _math_guard(t: float) -> None:
@@ -604,6 +719,56 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = fresh
 
 
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links): every document once, with the smallest doc_id of the documents that it is connected with
+    by pairs of Jaccard >= threshold, and the number of other documents that it makes such a pair with.
+
+    Counts are whole: copies and every near copy add to ``links``.  Rows with equal doc_id are one document with several
+    sets, which is linked if any of its sets is, and once.  Null, empty and blank texts have no n-gram and no link; rows
+    with a null doc_id are no documents.  A text of fewer than n words is one n-gram.  Texts are read whole; further
+    columns are ignored; an empty table gives an empty result.
+    """
+    _math_guard(threshold)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    rows, frequent, total = nodes(docs, n)
+    members = common.table(rows.select("doc_id", F.expr("IF(size > 0, node, NULL)").alias("node")).distinct(), "jaccard-members")
+    sets = members.where("node IS NOT NULL")
+    # Documents of several sets are counted from pairs, all others by adding up how many there are of each set.
+    mixed = common.checked(common.table(sets.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("node").alias("first")).where("sets > 1"), "jaccard-mixed"))
+    several = common.table(sets.join(mixed, "doc_id").select("doc_id", "node", "first"), "jaccard-several")
+    named = sets.join(mixed.select("doc_id", "sets"), "doc_id", "left").groupBy("node")
+    named = common.table(named.agg(F.min("doc_id").alias("least"), F.count_if(F.col("sets").isNull()).alias("weight"), (F.count("sets") > 0).alias("listed")), "jaccard-names")
+    found = common.table(join_nodes(docs, rows.where("size > 0"), frequent, total, n, threshold, named.select("node", "weight", "listed")), "jaccard-links")
+    linked = found.where("node IS NOT NULL")
+    edges = linked.select(F.col("node").alias("u"), F.col("root").alias("v")).union(several.select("node", "first"))
+    roots = common.checked(common.table(components(edges).withColumnRenamed("id", "node"), "jaccard-roots"))
+    rooted = common.table(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+    # A tree of one node has the class of its least document.
+    trees = rooted.join(common.checked(roots.select("root").distinct()), "root", "left_semi").groupBy("root").agg(F.min("least").alias("class_id"))
+    near = common.checked(common.table(linked.groupBy("node").agg(F.sum("links").alias("near")), "jaccard-near"))
+    more, mixed_links = _mixed_links(found, named, several)
+    told = rooted.join(common.checked(common.table(trees, "jaccard-trees")), "root", "left").join(near, "node", "left").join(common.checked(more), "node", "left")
+    told = told.select("node", F.coalesce("class_id", "least").alias("class_id"), (F.col("weight") - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
+    # One row for each set and document; of the sets of one document all have the same class.
+    out = members.join(told, "node", "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    out = out.join(common.checked(mixed_links).withColumnRenamed("links", "mixed"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("mixed", "links", F.lit(0)).alias("links"))
+
+
+def _mixed_links(found: DataFrame, named: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, more), (doc_id, links)): how many documents of several sets (``several``) a document with this one set is
+    linked with, and the links of each document of several sets."""
+    pairs = found.where("node IS NULL").select("a", "b")
+    own = several.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    both = common.table(pairs.union(pairs.select("b", "a")).union(own), "jaccard-listed")
+    holders = several.select(F.col("node").alias("b"), F.col("doc_id").alias("holder"))
+    more = both.join(holders, "b").groupBy(F.col("a").alias("node")).agg(F.count_distinct("holder").alias("more"))
+    near = common.table(several.select("doc_id", F.col("node").alias("a")).join(both, "a").select("doc_id", "b").distinct(), "jaccard-listed-near")
+    single = near.join(named.select(F.col("node").alias("b"), "weight"), "b").groupBy("doc_id").agg(F.sum("weight").alias("links"))
+    mixed = near.join(holders, "b").where("holder != doc_id").groupBy("doc_id").agg(F.count_distinct("holder").alias("links"))
+    return common.table(more, "jaccard-more"), common.table(single.union(mixed).groupBy("doc_id").agg(F.sum("links").alias("links")), "jaccard-mixed-links")
+
+
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group connected by ``join``; columns stay.
 
@@ -618,13 +783,16 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_all(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: The pairs as they are defined, their numbers by document, and what each document reaches along them.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0b\f\r\x1c-\x1f ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0b\f\r\x1c-\x1f ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(0, greatest(1, len(w) - 2)), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) AS gram FROM d WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(CAST(shared AS DOUBLE) / (x.size + y.size - shared), 6) AS jaccard
-FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared >= 0.5 * (x.size + y.size - shared)"""
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT doc_a, doc_b FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared >= 0.5 * (x.size + y.size - shared)),
+r(doc_id, other) AS (SELECT DISTINCT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, p.doc_b FROM r JOIN p ON p.doc_a = r.other)
+SELECT r.doc_id, min(r.other) AS class_id, coalesce(any_value(c.links), 0) AS links
+FROM r LEFT JOIN (SELECT doc_a, count(*) AS links FROM p GROUP BY doc_a) c ON c.doc_a = r.doc_id GROUP BY r.doc_id"""
