@@ -50,7 +50,7 @@ _WINDOW = 1 << 22
 _PAIRS = 1 << 21
 #: Overlaps are matrix products if at most so many times as many n-grams are shared as a set has; else by look-up.
 _DENSE = 64
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +237,7 @@ def region_blocks(sets: list[np.ndarray], t: float, leaf: int = 24, cells: int =
     yield from join(np.argsort(size, kind="stable"), np.zeros(0, np.int64))
 
 
-def _several(blocks: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+def _several(blocks: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
     """The same rows in blocks of ``least`` rows or more."""
     held, n = [], 0
     for block in blocks:
@@ -275,7 +275,7 @@ def _covered(lower: pa.ChunkedArray) -> Callable[[np.ndarray, np.ndarray], np.nd
     who, (_, code) = who[shared], np.unique(code[shared], return_inverse=True)
     bits = np.zeros((len(lists), code.max() // 64 + 1), np.uint64)
     np.bitwise_or.at(bits, (who, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
-    step = max(1, _PAIRS // bits.shape[1])
+    step = max(1, _CELLS // bits.shape[1])
     return lambda i, j: np.concatenate([np.zeros(0, bool), *((bits[i[a : a + step]] & bits[j[a : a + step]]).any(axis=1) for a in range(0, len(i), step))])
 
 
@@ -770,14 +770,13 @@ def _mixed_links(found: DataFrame, named: DataFrame, several: DataFrame) -> tupl
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group connected by ``join``; columns stay.
+    """``docs`` with one document, that of the smallest doc_id, of each of the ``classes``; columns stay.
 
-    Documents that ``join`` doesn't pair all stay: so do rows with a null doc_id and null, empty and blank texts.  Rows
+    Documents without links all stay: so do rows with a null doc_id and null, empty and blank texts.  Rows
     with equal doc_id are one document: they stay or go together.  Texts are compared whole; an empty table gives an
     empty result; further columns of any name are kept.
     """
-    pairs = common.table(join(docs, n, threshold), "jaccard-pairs")
-    gone = common.table(components(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("id").alias("gone")), "jaccard-gone")
+    gone = common.table(classes(docs, n, threshold).where("class_id != doc_id").select(F.col("doc_id").alias("gone")), "jaccard-gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
     return rows.join(common.checked(gone), F.col("own") == F.col("gone"), "left_anti").select("row.*")
 

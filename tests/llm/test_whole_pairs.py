@@ -141,3 +141,20 @@ def test_documents_of_several_sets(docs):
     rows = [(3, a), (3, a + " tail"), (7, a), (7, a), (8, b), (8, a + " tail"), (9, ""), (9, None)]
     got = jaccard_join.join_all(docs(rows)).collect()
     assert sorted(tuple(r) for r in got) == sorted((*k, v) for k, v in every_pair(rows, 3, 0.5).items())
+
+
+def test_keep_one_makes_no_row_of_a_pair(docs, monkeypatch):
+    from sievelight.llm import common
+
+    rng, seen, plain = random.Random(9), {}, common.table
+    base = words(rng, 60)
+    rows = [(k, " ".join([*base[: k % 60], *words(rng, 1), *base[k % 60 + 1 :]])) for k in range(150)]
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "table", counted)
+    assert [r.doc_id for r in jaccard_join.keep_one(docs(rows)).collect()] == [0]
+    assert max(v for k, v in seen.items() if k not in ("jaccard-nodes", "jaccard-often", "jaccard-met")) <= 4 * 150
