@@ -2,6 +2,7 @@ import itertools
 import os
 import random
 import tempfile
+import time
 from collections import Counter
 
 import numpy as np
@@ -29,6 +30,38 @@ def test_encoder_equals_whole_texts():
         assert ids[off[k] : off[k + 1]].tolist() == e.core.encode_ordinary(t), repr(t)
 
 
+def test_encoder_takes_no_more_time_than_whole_texts():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [" ".join("".join(rng.choice("theanois") for _ in range(rng.randint(4, 12))) for _ in range(500)) for _ in range(400)]
+    column, fresh = pa.array(rows), [tokens.Encoder() for _ in range(3)]
+
+    def cpu(run):
+        began = time.thread_time()
+        run()
+        return time.thread_time() - began
+
+    whole = min(cpu(lambda e=e: [e.core.encode_ordinary(t) for t in rows]) for e in fresh)
+    assert min(cpu(lambda e=e: e.encode(column)) for e in fresh) < 1.5 * whole
+
+
+def test_encoder_on_odd_columns():
+    import pyarrow as pa
+
+    e = tokens.Encoder()
+    rows = [None, "<|endoftext|> x", "", "é<|endoftext|><|endoftext|>日", "\u3000\u3000 a\r\n\r\n\u2028 b \x85 ", None]
+    for column in (pa.array(rows), pa.array(rows, pa.large_string()), pa.array(["out", *rows, "out"]).slice(1, len(rows))):
+        ids, off = e.encode(column)
+        assert ids.dtype == np.uint16
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(off.tolist())] == [e.core.encode_ordinary(t or "") for t in rows]
+    ids, off = e.encode(pa.array([b"a \xe3\x81 b\xff", b"\xc3"], pa.binary()))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(off.tolist())] == [e.core.encode_ordinary("a \ufffd b\ufffd"), e.core.encode_ordinary("\ufffd")]
+    for column in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        ids, off = e.encode(column)
+        assert ids.dtype == np.uint16 and len(ids) == 0 and off.tolist() == [0] * (len(column) + 1)
+
+
 def test_store_round_trip(docs):
     rows = texts(1, 40)
     rows += rows[:10] + ["", None, "word " * 9000]
