@@ -315,7 +315,7 @@ def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndar
         if n_held:
             yield _only_packed(flush(), names)
 
-    made = common.table(_source(docs).mapInArrow(count, schema), "jaccard-nodes")
+    made = common.table(_source(docs).mapInArrow(common.lean(count), schema), "jaccard-nodes")
     total = made.agg(F.sum("size")).first()[0] or 0
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def nodes(docs: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndar
         keep = times > FREQUENT
         yield pa.RecordBatch.from_arrays([pa.array(unique[keep].view(np.int64)), pa.array(np.ceil(np.log2(times[keep] / FREQUENT)).astype(np.int8))], ["gram", "class"])
 
-    often = common.table(common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(add, "gram long, class byte"), "jaccard-often")
+    often = common.table(common.exchange(made.where("part IS NOT NULL").select("part", "blob"), parts).mapInArrow(common.lean(add), "gram long, class byte"), "jaccard-often")
     left, least = 0, 1
     for row in often.groupBy("class").count().orderBy(F.desc("class")).collect():
         left += row["count"]
@@ -500,8 +500,8 @@ def _candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total:
         keep = full | (times >= need)
         yield from common.to_batches({"pivot": pa.array(x[head][keep].view(np.int64)), "member": pa.array(y[head][keep].view(np.int64)), "full": pa.array(full[keep])})
 
-    met = common.exchange(_source(docs).mapInArrow(send, common.PACKED), parts).mapInArrow(meet, common.PACKED)
-    met = common.table(common.exchange(met, parts).mapInArrow(add, "pivot long, member long, full boolean"), "jaccard-met")
+    met = common.exchange(_source(docs).mapInArrow(common.lean(send), common.PACKED), parts).mapInArrow(common.lean(meet), common.PACKED)
+    met = common.table(common.exchange(met, parts).mapInArrow(common.lean(add), "pivot long, member long, full boolean"), "jaccard-met")
     # Each node's pivot is its smallest candidate partner; both nodes of a pair go to the pivot of the first, so a
     # family of near copies is one region that has each set once, and not a region for each pair.
     pairs = met.where("NOT full").select(F.col("pivot").alias("x"), F.col("member").alias("y"))
@@ -597,7 +597,7 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray,
             if stays.any():
                 yield from common.to_batches({"pivot": pa.array(group["pivot"].to_numpy()[stays]), "member": pa.array(group["member"].to_numpy()[stays])})
 
-    stays = sifted.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(sift, "pivot long, member long")
+    stays = sifted.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(common.lean(sift), "pivot long, member long")
     stays = common.table(stays.distinct(), "jaccard-sifted")
     cells = common.table(_blocks(whole.join(common.checked(stays), ["pivot", "member"]), REGION_SETS), "jaccard-cells")
     # Few cells are broadcast, so that the texts move once, to their cells; many are joined by a shuffle.
@@ -639,8 +639,8 @@ def join_nodes(docs: DataFrame, members: DataFrame, frequent: tuple[np.ndarray,
 
     placed = cells.repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
     if weights is None:
-        return placed.mapInArrow(join, "a long, b long, overlap long, jaccard double")
-    return placed.mapInArrow(link, "node long, root long, links long, a long, b long")
+        return placed.mapInArrow(common.lean(join), "a long, b long, overlap long, jaccard double")
+    return placed.mapInArrow(common.lean(link), "node long, root long, links long, a long, b long")
 
 
 def _math_guard(t: float) -> None:

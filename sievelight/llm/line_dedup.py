@@ -224,8 +224,8 @@ def near_pairs(docs: DataFrame, tau: int = TAU) -> DataFrame:
         if held:
             yield _pair_batch(held)
 
-    packed = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(send, common.PACKED)
-    candidates = common.table(common.exchange(packed, parts).mapInArrow(meet, "a long, b long").distinct(), "line-candidates")
+    packed = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(common.lean(send), common.PACKED)
+    candidates = common.table(common.exchange(packed, parts).mapInArrow(common.lean(meet), "a long, b long").distinct(), "line-candidates")
 
     wanted = common.table(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "line-wanted")
     # Few candidates are looked up in the tasks by a broadcast array; many are joined by a shuffle.
@@ -246,7 +246,7 @@ def near_pairs(docs: DataFrame, tau: int = TAU) -> DataFrame:
             whole = raw.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array(more[once]), pa.array([whole[a:b] for a, b in zip(starts[once].tolist(), ends[once].tolist(), strict=True)], pa.binary())], ["id", "more", "line"])
 
-    lines = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(texts, "id long, more long, line binary")
+    lines = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(common.lean(texts), "id long, more long, line binary")
     if sent is None:
         lines = lines.join(wanted, "id", "left_semi")
     # Lines of one id but different texts all stand for it here, and are told apart by their texts and their second half.
@@ -270,7 +270,7 @@ def near_pairs(docs: DataFrame, tau: int = TAU) -> DataFrame:
                     at += step
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good))
 
-    return pairs.select("a", "ca", "b", "cb", "la", "lb").mapInArrow(verify, "a long, ca long, b long, cb long")
+    return pairs.select("a", "ca", "b", "cb", "la", "lb").mapInArrow(common.lean(verify), "a long, ca long, b long, cb long")
 
 
 def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -293,7 +293,7 @@ def removals(docs: DataFrame, tau: int = TAU) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((full - texts[text]).astype(np.int32)), pa.array(h), pa.array(c)], ["doc_id", "rid", "line_no", "h", "c"])
 
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    lines = common.table(source.mapInArrow(narrow, "doc_id long, rid long, line_no int, h long, c long"), "lines")
+    lines = common.table(source.mapInArrow(common.lean(narrow), "doc_id long, rid long, line_no int, h long, c long"), "lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid", "line_no")
     pairs = common.table(near_pairs(docs, tau), "line-near")
     both = pairs.selectExpr("a h", "ca c", "b other", "cb oc").union(pairs.selectExpr("b", "cb", "a", "ca"))

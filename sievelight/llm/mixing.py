@@ -137,7 +137,7 @@ def _tree(spark: SparkSession, quota: np.ndarray, shards: int, seed: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array(source.astype(np.int32)), pa.array(blocks[at, source])], ["shard", "source", "blocks"])
 
     top = spark.createDataFrame(small, "low long, high long, left array<long>")
-    return top.repartition(max(1, min(len(small), common.partitions(spark)))).mapInArrow(grow, "shard int, source int, blocks long")
+    return top.repartition(max(1, min(len(small), common.partitions(spark)))).mapInArrow(common.lean(grow), "shard int, source int, blocks long")
 
 
 def _order(seed: int) -> Column:
@@ -190,7 +190,7 @@ def plan(docs: DataFrame, weights: dict[str, float] | None, block: int, shard_bl
                 within[own] = stop - (upto[names[j]] - by_bucket[names[j]])[at]
             yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in source.tolist()], pa.string()), pa.array(bucket.astype(np.int32)), pa.array(within), pa.array(shard)], ["s", "b", "r", "shard"])
 
-    cuts = common.table(ends.mapInArrow(locate, "s string, b int, r long, shard int"), "mix-cuts")
+    cuts = common.table(ends.mapInArrow(common.lean(locate), "s string, b int, r long, shard int"), "mix-cuts")
     # A range ends with the document of rank r in bucket b.
     rank = Window.partitionBy("s", "b").orderBy("o")
     cut_buckets = common.table(cuts.select("s", "b").distinct(), "mix-buckets")

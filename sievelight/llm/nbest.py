@@ -358,8 +358,9 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
             lens = np.array([len(p) for p in parts], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc_at)), pa.array(rank, pa.int32()), pa.array(value), lists, pa.array(ok)], ["doc_id", "rank", "score", "ids", "decoded_ok"])
+            common.give_back()  # a slice takes a second or so, and its pieces would scatter over the heap
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(common.lean(run), SCHEMA)
 
 
 class _Store:
@@ -410,7 +411,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if ids is None else decode_word(lattice, tuple(ids)).removeprefix(" ") for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "rank", "text"])
 
-    return encoded.select("doc_id", "rank", "ids").mapInArrow(run, "doc_id long, rank int, text string")
+    return encoded.select("doc_id", "rank", "ids").mapInArrow(common.lean(run), "doc_id long, rank int, text string")
 
 
 def op9_nbest_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
