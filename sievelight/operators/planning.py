@@ -50,19 +50,15 @@ def agg_project(detected: DataFrame, key: str = "project_id") -> DataFrame:
 
 def fw_from_package_json(text: Column) -> Column:
     """Frameworks that a package.json names in any dependency section, in fixed order; none if it is no JSON object."""
-    value = F.try_parse_json(text)
-
-    def has(package: str) -> Column:
-        found = [F.schema_of_variant(F.try_variant_get(value, f'$.{s}["{package}"]', "variant")).isNotNull() for s in SECTIONS]
-        return F.coalesce(found[0] | found[1] | found[2] | found[3], F.lit(False))
-
-    parts = []
-    for name, packages in FRAMEWORKS.items():
-        cond = has(packages[0])
-        for p in packages[1:]:
-            cond = cond | has(p)
-        parts.append(F.when(cond, F.lit(name)))
-    return F.array_compact(F.array(*parts))
+    framework_of = F.create_map(*[F.lit(x) for name, packages in FRAMEWORKS.items() for package in packages for x in (package, name)])
+
+    def named(value: Column) -> Column:
+        packages = F.flatten(F.array_compact(F.array(*[F.map_keys(F.try_variant_get(value, f"$.{s}", "map<string,variant>")) for s in SECTIONS])))
+        return F.transform(packages, lambda p: F.try_element_at(framework_of, p))
+
+    # An array of one element, so that a text is parsed once and not for each section and package.
+    found = F.flatten(F.transform(F.array(F.try_parse_json(text)), named))
+    return F.array_intersect(F.array(*map(F.lit, FRAMEWORKS)), found)
 
 
 def module_select(projects: DataFrame, entitled: tuple[str, ...]) -> DataFrame:

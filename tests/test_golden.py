@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -238,3 +239,30 @@ def test_join_registry_and_exemptions(spark):
     f = spark.createDataFrame([("a",), ("b",)], "id string")
     e = spark.createDataFrame([("a", dt.date(2024, 1, 1)), ("b", dt.date(2023, 1, 1))], "id string, expires date")
     assert [x.id for x in D.exempt(f, e, F.lit("2023-06-01").cast("date")).collect()] == ["b"]
+
+
+def test_a_package_json_is_parsed_once_whatever_it_holds(spark):
+    import json
+
+    rng, names = random.Random(3), [*(p for ps in P.FRAMEWORKS.values() for p in ps), "left-pad", "React", "", "a\"b", "x.y", "é"]
+    odd = [None, "", " ", "null", "1", "[]", "{", '"react"', '{"a":1,"a":2}', '{"dependencies":{"react":1,"react":2}}', ' {"dependencies" : {"react":null}} ', '{"Dependencies":{"react":"1"}}', '{"x":{"dependencies":{"react":"1"}}}', '{"dependencies":"react","devDependencies":{"vue":"1"}}', '{"dependencies":["react"],"devDependencies":{"nuxt":[1]}}']
+    value = lambda: rng.choice(["1", None, 5, ["react"], {"next": "1"}, True])
+    section = lambda: rng.choice([None, "react", 7, ["vue"], {}, *[{n: value() for n in rng.sample(names, rng.randint(1, 5))} for _ in range(8)]])
+    texts = odd + [json.dumps({s: section() for s in rng.sample([*P.SECTIONS, "scripts", "name"], rng.randint(0, 5))}, ensure_ascii=rng.random() < 0.5) for _ in range(300)]
+
+    def model(text):
+        def once(pairs):
+            if len({k for k, _ in pairs}) < len(pairs):
+                raise ValueError("a key twice")
+            return dict(pairs)
+
+        try:
+            found = json.loads(text, object_pairs_hook=once)
+        except (TypeError, ValueError):
+            return []
+        inside = [found[s] for s in P.SECTIONS if isinstance(found.get(s), dict)] if isinstance(found, dict) else []
+        return [f for f, packages in P.FRAMEWORKS.items() if any(p in d for d in inside for p in packages)]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2).select("k", P.fw_from_package_json(F.col("text")).alias("f"))
+    assert {r.k: r.f for r in df.collect()} == {k: model(t) for k, t in enumerate(texts)}
+    assert len(re.findall("(?i)parse_?json", df._jdf.queryExecution().optimizedPlan().toString())) == 1
