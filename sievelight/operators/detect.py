@@ -185,8 +185,8 @@ def safe_version(deps: DataFrame, versions: DataFrame, prereleases: bool = False
     if not prereleases:
         c = c.where(~scalar.is_prerelease(F.col("candidate")))
     c = c.withColumn("nth", F.row_number().over(newest)).where(F.col("safe") & (F.col("nth") <= queries))
-    vk = scalar.version_key(F.col("version"))
-    j = deps.select(*key).distinct().join(c, ["ecosystem", "package"], "left")
+    vk = F.col("vk")
+    j = deps.select(*key).distinct().withColumn("vk", scalar.version_key(F.col("version"))).join(c, ["ecosystem", "package"], "left")
     up = F.col("ck") >= vk
     minor = up & (F.get("ck", F.lit(0)) == F.get(vk, F.lit(0))) & (F.get("ck", F.lit(1)) > F.get(vk, F.lit(1)))
     pick = lambda cond, f: f(F.when(cond, F.col("candidate")), F.when(cond, F.col("ck")))

@@ -7,6 +7,7 @@ from ..operators import aggregate as A
 from ..operators import detect as D
 from ..operators import orgs as O
 from ..operators import sinks as S
+from ..sources.shared import cut
 from ..sources.stand_in import findings, table
 from .base import query
 
@@ -266,10 +267,16 @@ def agg_kpi(spark, d):
     return O.agg_kpi(findings(spark, d).select(s.alias("status"), day.alias("found_at"), F.date_add(day, (F.col("line") * 3).cast("int")).alias("resolved_at")))
 
 
+def _deps(spark, d):
+    """The distinct dependencies of the findings, kept as a table: else filters on parsed versions, which take regular
+    expressions, are pushed below the distinct and run on every finding, in each scan that uses the dependencies."""
+    paths = cut(findings(spark, d).select("dep_path").distinct())
+    return paths.select(scalar.dep_parse(F.col("dep_path")).alias("p")).select("p.*").distinct()
+
+
 @query("join_advisory", ", dep AS (SELECT DISTINCT split_part(dep_path, ':', 1) AS ecosystem, split_part(split_part(dep_path, ':', 2), '@', 1) AS package, split_part(dep_path, '@', 2) AS version FROM findings), adv AS (SELECT 'ADV-' || p_partkey AS advisory, 'npm' AS ecosystem, 'pkg' || (p_partkey % 50) AS package, CAST(p_partkey % 4 AS INTEGER) AS lo, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_partkey % 4 + 2 AS INTEGER) END AS hi FROM part) SELECT dep.*, advisory FROM dep JOIN adv USING (ecosystem, package) WHERE CAST(split_part(version, '.', 1) AS INTEGER) >= lo AND (hi IS NULL OR CAST(split_part(version, '.', 1) AS INTEGER) < hi)", "findings")
 def join_advisory(spark, d):
-    p = scalar.dep_parse(F.col("dep_path"))
-    deps = findings(spark, d).select(p.alias("p")).select("p.*").distinct()
+    deps = _deps(spark, d)
     k = F.col("p_partkey") % 4
     adv = table(spark, d, "part").select(F.concat(F.lit("ADV-"), "p_partkey").alias("advisory"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("pkg"), F.col("p_partkey") % 50).alias("package"), F.concat(k, F.lit(".0.0")).alias("introduced"), F.when(F.col("p_size") % 3 != 0, F.concat(k + 2, F.lit(".0"))).alias("fixed"))
     return D.join_advisory(deps, adv).select("ecosystem", "package", "version", "advisory")
@@ -293,8 +300,7 @@ SELECT ecosystem, package, version, nearest_safe, latest_safe, next_minor, CASE
 
 @query("det_safe_version", _SAFE, "findings")
 def det_safe_version(spark, d):
-    p = scalar.dep_parse(F.col("dep_path"))
-    deps = findings(spark, d).select(p.alias("p")).select("p.*").distinct()
+    deps = _deps(spark, d)
     part = lambda k: F.split("candidate", "\\.")[k].cast("int")
     versions = deps.select("ecosystem", "package", F.col("version").alias("candidate")).distinct().withColumn("safe", (part(0) + part(1)) % 3 != 0)
     return D.safe_version(deps, versions)

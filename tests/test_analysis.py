@@ -214,3 +214,12 @@ def test_state_that_sees_nothing_is_dropped():
     state.hasTimedOut = False
     (out,) = step((1,), batch((5, "Queued")), state)
     assert out["from_status"].tolist() == ["Pending"]
+
+
+def test_filters_on_versions_do_not_run_on_every_finding(spark, small):
+    """The findings are read once, for their distinct dependencies; what is parsed and joined after that is a small table."""
+    from sievelight.plans.registry import QUERIES
+
+    for name in ("det_safe_version", "join_advisory"):
+        df = QUERIES[name](spark, small)
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
